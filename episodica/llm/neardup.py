@@ -7,9 +7,9 @@ one bucket for each chunk and each symbol of it that is left out, so all such pa
 threshold of 0.8 a pair misses all its chunks with a chance of 2 in a million.)
 
 In a bucket each class is first compared with the bucket's smallest one only; links that hold are merged. What
-is then still in different components of one bucket is compared in full. So a family of copies costs as many
-comparisons as it has members, and yet no link between different components is lost. All links are confirmed on
-the full shingle sets.
+is then still in different components of one bucket is compared in full, by bitmaps that cannot miss a link. So
+a family of copies brings about as many pairs as it has members, and yet no link between different components
+is lost. All links are confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -29,6 +29,10 @@ SYMBOLS = CHUNKS * CHUNK
 #: Two bits of each symbol travel with the bucket rows. Pairs at the threshold differ there in 7.5 of 50 places,
 #: with a deviation of 2.5; unrelated ones in 37.
 MOST_APART = 24
+#: Each set also has a bitmap of 64 x MAPS bits, which hold the parity of its shingles' counts. Two bitmaps differ
+#: in no more bits than the sets do in shingles, so a pair whose bitmaps differ too much is no link.
+MAPS = 16
+BITMAP = [f"m{k}" for k in range(MAPS)]
 MEMO_WORDS = 400_000
 
 _rng = np.random.default_rng(20_240)
@@ -78,24 +82,26 @@ def signed(a: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, the set's digest (d1, d2) and its signature."""
+    """doc_id, n_shingles, the set's digest (d1, d2), its signature and its bitmap."""
 
     def make():
         shingles = Shingles(words)
 
         def f(batch):
-            n, d1, d2, signature = [], [], [], []
+            n, d1, d2, signature, bits = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles.of(text)
                 n.append(len(s))
                 d1.append(int(signed(s.sum(keepdims=True))[0]) if len(s) else 0)
                 d2.append(int(signed(mixed(s).sum(keepdims=True))[0]) if len(s) else 0)
                 signature.append(minima(s).tobytes() if len(s) else None)
-            return {"doc_id": batch.column(0), "n_shingles": n, "d1": d1, "d2": d2, "signature": signature}
+                bits.append(np.packbits(np.bincount((s >> np.uint64(7)).astype(np.int64) % (64 * MAPS), minlength=64 * MAPS) & 1))
+            maps = np.stack(bits).view(np.int64)
+            return {"doc_id": batch.column(0), "n_shingles": n, "d1": d1, "d2": d2, "signature": signature} | {m: maps[:, k] for k, m in enumerate(BITMAP)}
 
         return f
 
-    return map_slices(docs, make, "doc_id long, n_shingles long, d1 long, d2 long, signature binary")
+    return map_slices(docs, make, "doc_id long, n_shingles long, d1 long, d2 long, signature binary, " + ", ".join(f"{m} long" for m in BITMAP))
 
 
 def bucket_rows(classes: DataFrame) -> DataFrame:
@@ -140,6 +146,12 @@ def may_link(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (apart(a, b) <= MOST_APART)
 
 
+def can_link(a: str, b: str, percent: int) -> Column:
+    """The bitmaps differ in no more bits than linked sets of these sizes can in shingles."""
+    differ = sum((F.bit_count(F.col(f"{a}{m}").bitwiseXOR(F.col(f"{b}{m}"))) for m in BITMAP[1:]), F.bit_count(F.col(f"{a}m0").bitwiseXOR(F.col(f"{b}m0"))))
+    return (100 + percent) * differ <= (100 - percent) * (F.col(f"{a}n") + F.col(f"{b}n"))
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets share ``percent`` of their union."""
 
@@ -188,7 +200,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     rows = pick(docs, "doc_id", "text")
     marked = written(signatures(rows, words), "neardup-signatures")
     digest = ["n_shingles", "d1", "d2"]
-    classes = marked.where("n_shingles > 0 and doc_id is not null").groupBy(*digest).agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"))
+    classes = marked.where("n_shingles > 0 and doc_id is not null").groupBy(*digest).agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("signature", *BITMAP)))
     classes = written(classes, "neardup-classes")
     buckets = bucket_rows(classes.select("id", F.col("n_shingles").alias("n"), "signature"))
     # The smallest class of each bucket, on each row of a bucket with several.
@@ -201,9 +213,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     # What meets in a bucket and is not in one component yet.
     member = shared.select("key", "id", "n", "b1", "b2").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed_keys = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    member = written(member.join(mixed_keys, "key", "left_semi"), "neardup-members")
-    left, right = (member.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "n", "b1", "b2", "component"))) for x in "ab")
-    across = left.join(right, "key").where((F.col("a_component") < F.col("b_component")) & may_link("a_", "b_", percent))
+    member = written(member.join(mixed_keys, "key", "left_semi").join(classes.select("id", *BITMAP), "id"), "neardup-members")
+    left, right = (member.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "n", "b1", "b2", "component", *BITMAP))) for x in "ab")
+    across = left.join(right, "key").where((F.col("a_component") < F.col("b_component")) & may_link("a_", "b_", percent) & can_link("a_", "b_", percent))
     more = across.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = written(more, "neardup-more")
     links = links.union(confirmed(more, rows, words, percent))
