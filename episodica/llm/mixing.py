@@ -18,7 +18,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, written
 
 LEVELS = ("domain", "lang", "source")
 SEED = 20_240
@@ -92,6 +92,7 @@ def select_mix(docs: DataFrame, budget_share: float = 0.6, weights: Mapping[str,
     weights = weights or {}
     d = with_leaf(pick(docs, "doc_id", "text", "lang", "source"), domain if domain is not None else default_domain())
     d = d.select("doc_id", "domain", F.col("leaf_lang").alias("lang"), F.col("leaf_source").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"))
+    d = written(d, "mix-counts")  # texts are read once; what follows needs ids and counts alone
     leaves = d.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     budgets = leaf_budgets(leaves, budget_share, weights, max_epochs, budget_tokens)
     budgets = budgets.withColumn("whole", F.when(F.col("tokens") > 0, F.least(F.lit(max_epochs), F.floor(F.col("budget") / F.col("tokens")))).otherwise(F.lit(0)).cast("int"))
