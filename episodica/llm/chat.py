@@ -43,8 +43,8 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history_turns: int =
 
     ``text``: the formatted turns; ``loss_spans``: start and length, in code points, of what is learnt: each
     assistant text in the one window where it is new; ``n_repeated``: turns at the window's start that stand
-    in an earlier one; ``n_turns``: the new ones; ``n_tokens``; ``over_budget``: its one turn, with what is
-    repeated, is longer than the budget, as turns are never cut.
+    in an earlier one; ``n_turns``: the new ones; ``n_tokens``; ``over_budget``: its one turn, with the system
+    turn and what is repeated, is longer than the budget, as turns are never cut.
 
     A first turn by ``system`` is kept at the head of all windows. Turns are in order of turn (null first), then
     role and text; repeated rows are turns of their own. Null roles and texts are empty; null conv_ids are

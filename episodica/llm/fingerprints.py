@@ -161,7 +161,7 @@ def fingerprint_documents(docs: DataFrame, size: int = SIZE, range_rows: int = R
                 for doc_id, text, place in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     if held is None and place & 1:
                         continue
-                    current = held if held is not None and held.text == text and not held.seen else Parsed(doc_id, text, size)
+                    current = Parsed(doc_id, text, size)
                     if held is not None and place >> 1 == held_range:
                         out.append(pair(held, current))
                     held, held_range = (None, None) if place & 1 else (current, place >> 1)
