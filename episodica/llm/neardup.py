@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Memo, dropped, map_slices, pick, written
@@ -29,6 +29,8 @@ SYMBOLS = CHUNKS * CHUNK
 #: Two bits of each symbol travel with the bucket rows. Pairs at the threshold differ there in 7.5 of 50 places,
 #: with a deviation of 2.5; unrelated ones in 37.
 MOST_APART = 24
+#: So many ids, 8 MB, are sent to all executors to find their texts.
+MOST_SENT = 1_000_000
 #: Each set also has a bitmap of 64 x MAPS bits, which hold the parity of its shingles' counts. Two bitmaps differ
 #: in no more bits than the sets do in shingles, so a pair whose bitmaps differ too much is no link.
 MAPS = 16
@@ -159,7 +161,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
         shingles = Shingles(words)
         return lambda batch: {"doc_id": batch.column(0), "s": [signed(shingles.of(t)) for t in batch.column(1).to_pylist()]}
 
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "neardup-ids")
+    if ids.count() <= MOST_SENT:  # else texts are shuffled
+        ids = F.broadcast(ids)
     sets = written(map_slices(docs.join(ids, "doc_id", "left_semi"), make, "doc_id long, s longs"), "neardup-sets")
     left, right = (sets.select(F.col("doc_id").alias(x), F.col("s").alias(f"{x}s")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b")
@@ -204,9 +208,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     classes = written(classes, "neardup-classes")
     buckets = bucket_rows(classes.select("id", F.col("n_shingles").alias("n"), "signature"))
     # The smallest class of each bucket, on each row of a bucket with several.
-    heads = buckets.groupBy("key").agg(F.min_by(F.struct("id", "n", "b1", "b2"), "id").alias("head"), F.max("id").alias("last")).where("head.id < last")
-    heads = written(heads.select("key", *(F.col(f"head.{c}").alias(f"h_{c}") for c in ("id", "n", "b1", "b2"))), "neardup-heads")
-    shared = written(buckets.join(heads, "key"), "neardup-buckets")
+    bucket = Window.partitionBy("key")
+    headed = buckets.withColumn("head", F.min(F.struct("id", "n", "b1", "b2")).over(bucket)).withColumn("last", F.max("id").over(bucket)).where("head.id < last")
+    shared = written(headed.select("key", "id", "n", "b1", "b2", *(F.col(f"head.{c}").alias(f"h_{c}") for c in ("id", "n", "b1", "b2"))), "neardup-buckets")
     tried = written(shared.where((F.col("id") != F.col("h_id")) & may_link("", "h_", percent)).select(F.col("h_id").alias("a"), F.col("id").alias("b")).distinct(), "neardup-tried")
     links = confirmed(tried, rows, words, percent)
     labels = components(links)
