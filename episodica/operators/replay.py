@@ -2,27 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUDGET = 4
+#: Failures of a search, which count as an action; in the last two the retriever had returned.
+SEARCH_FAILURES = ("empty_search", "invalid_search", "retrieval_error", "empty_search_result", "observation_error")
+RETURNED = ("empty_search_result", "observation_error")
+#: Reasons that an episode can recover from.
+RECOVERABLE = ("repeated_search_query", "no_new_documents")
 
 
-def replay(turns: DataFrame, budget: int = BUDGET, repeat_ends: bool = False) -> DataFrame:
-    """Facts of each episode. ``turns``: episode, turn, kind (search, answer, error), query_key, doc_keys.
+def replay(turns: DataFrame, budget: int = BUDGET, repeat_ends: bool = False, empty: str = "empty_search") -> DataFrame:
+    """Facts of each episode. ``turns``: episode, turn, kind (search, answer, error), query_key, doc_keys, and
+    perhaps failure. The first protocol has a budget of 8 and ends at a repeat, the second has 8, the third 4.
 
     An error ends the episode, an answer does; a search beyond the budget ends it unanswered; a repeated query
-    is answered from the cache and counts as no progress, or ends the episode where ``repeat_ends``.
+    is answered from the cache and counts as no progress, or ends the episode where ``repeat_ends``. A search
+    without query_key ends it as ``empty``. ``failure`` names what else ended it at that turn: of an error
+    (generation_truncated, context_overflow), or of a search that was not answered from the cache.
     """
+    if "failure" not in turns.columns:
+        turns = turns.withColumn("failure", F.lit(None).cast("string"))
     order = Window.partitionBy("episode").orderBy("turn")
     sofar = order.rowsBetween(Window.unboundedPreceding, 0)
     search = F.col("kind") == "search"
     t = turns.withColumn("searches", F.sum(search.cast("int")).over(sofar))
     t = t.withColumn("seen", F.when(search, F.row_number().over(Window.partitionBy("episode", "kind", "query_key").orderBy("turn"))))
-    label = F.when(F.col("kind") == "error", "format_error").when(F.col("kind") == "answer", F.when(F.col("searches") >= budget, "answer_after_search_budget").otherwise("answer"))
+    label = F.when(F.col("kind") == "error", F.coalesce("failure", F.lit("format_error"))).when(F.col("kind") == "answer", F.when(F.col("searches") >= budget, "answer_after_search_budget").otherwise("answer"))
+    no_query = search & F.col("query_key").isNull() & (F.col("searches") <= budget)
+    label = label.when(no_query, empty)
     if repeat_ends:
         label = label.when(F.col("seen") > 1, "repeated_search")
-    label = label.when(F.col("searches") > budget, "search_limit")
+    label = label.when(F.col("searches") > budget, "search_limit").when(F.col("seen") == 1, F.col("failure"))
     t = t.withColumn("label", label).withColumn("cut", F.min(F.when(label.isNotNull(), F.col("turn"))).over(Window.partitionBy("episode")))
     t = t.withColumn("live", search & (F.col("cut").isNull() | (F.col("turn") < F.col("cut"))))
     t = t.withColumn("executed", F.col("live") & (F.col("seen") == 1))
@@ -31,9 +43,10 @@ def replay(turns: DataFrame, budget: int = BUDGET, repeat_ends: bool = False) ->
     t = t.join(news, ["episode", "turn"], "left").withColumn("new_docs", F.coalesce("new_docs", F.lit(0)))
     count = lambda c: F.count_if(c)
     live, executed = F.col("live"), F.col("executed")
+    failed = search & (F.col("turn") == F.col("cut")) & F.col("label").isin(*SEARCH_FAILURES)
     out = t.groupBy("episode").agg(
-        count(live).alias("searches"),
-        count(executed).alias("executed"),
+        count(live | F.coalesce(failed, F.lit(False))).alias("searches"),
+        count(executed | F.coalesce(failed & F.col("label").isin(*RETURNED), F.lit(False))).alias("executed"),
         count(live & ~executed).alias("repeated"),
         count(executed & (F.col("new_docs") > 0)).alias("progressive"),
         count(live & (F.col("new_docs") == 0)).alias("no_progress"),
@@ -54,6 +67,14 @@ def reasons(episodes: DataFrame) -> DataFrame:
     return episodes.withColumn("reasons", F.array_sort(F.array_distinct(F.array_compact(r)))).withColumn("eligible", F.size("reasons") == 0)
 
 
+def recovery(episodes: DataFrame, correct: Column) -> DataFrame:
+    """Adds terminal_invalid (a reason that cannot be recovered from), strict (no reason at all) and recovered
+    (correct, with recoverable reasons only). ``episodes`` come from ``reasons``."""
+    final = F.exists("reasons", lambda r: ~r.isin(*RECOVERABLE))
+    e = episodes.withColumn("terminal_invalid", final).withColumn("strict", F.size("reasons") == 0)
+    return e.withColumn("recovered", correct & ~F.col("strict") & ~F.col("terminal_invalid"))
+
+
 def order_errors(events: DataFrame) -> DataFrame:
     """The first breach of order in each episode (episode, idx, kind): an observation follows a search, a search
     is followed by an observation, an answer is last."""

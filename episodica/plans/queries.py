@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import stats, text
-from ..operators import integrity, observation, replay, retrieval, sampling
+from ..functions import evidence, prompts, stats, text
+from ..operators import gates, integrity, observation, replay, retrieval, sampling, selection
 from ..sources.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,12 +62,14 @@ def leakage_contains(spark, d):
     docs = table(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
     items = table(spark, d, "benchmark").select("item_id", text.tokens(F.col("text")).alias("q")).where(F.size("q") > 0)
     items = items.withColumn("anchor", F.when(F.size("q") < width, F.get("q", F.lit(0))).otherwise(F.array_join(F.slice("q", 1, width), " ")))
-    starts = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1))), lambda k: F.array_join(F.slice(t, k, width), " "))
+    # Elements by position: a slice would copy the array at each place. The texts stay out of the exploded rows.
+    starts = lambda t: F.transform(F.sequence(F.lit(0), F.greatest(F.size(t) - 1, F.lit(0))), lambda k: F.concat_ws(" ", *(F.get(t, k + j) for j in range(width))))
     anchors = text.let(F.col("t"), lambda t: F.array_distinct(F.concat(starts(t), t)))
-    places = docs.select("doc_id", F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")).alias("all"), F.explode(anchors).alias("anchor"))
+    places = docs.select("doc_id", F.explode(anchors).alias("anchor"))
     items = F.broadcast(items) if items.count() <= 10_000 else items
-    held = places.join(items, "anchor").where(F.col("all").contains(F.concat(F.lit(" "), F.array_join("q", " "), F.lit(" "))))
-    return held.select("doc_id", "item_id").distinct()
+    met = places.join(items, "anchor").select("doc_id", "item_id", F.concat(F.lit(" "), F.array_join("q", " "), F.lit(" ")).alias("part")).distinct()
+    whole = docs.select("doc_id", F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")).alias("all"))
+    return whole.join(met, "doc_id").where(F.col("all").contains(F.col("part"))).select("doc_id", "item_id").distinct()
 
 
 @query(f"""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, lag(coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations),
@@ -293,3 +295,101 @@ def observation_budget(spark, d):
     top = table(spark, d, "documents").withColumn("k", F.row_number().over(w)).where("k <= 3").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("k", "doc_id", "text"))).alias("x"))
     o = observation.observation_column(F.transform("x.doc_id", lambda i: i.cast("string")), F.col("x.text"))
     return top.select("source", o.alias("o")).select("source", "o.*")
+
+
+@query("""WITH t AS (SELECT l_orderkey, coalesce(list(DISTINCT 'part ' || l_partkey % 40) FILTER (l_linenumber <= 3), []) AS g, coalesce(list(DISTINCT 'part ' || l_partkey % 40) FILTER (l_linenumber >= 2), []) AS v FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, len(g) AS gold, array_to_string(list_sort(list_intersect(g, v)), ',') AS matched, round(len(list_intersect(g, v)) * 1.0 / nullif(len(g), 0), 9) AS recall FROM t""")
+def title_coverage(spark, d):
+    title, n = F.concat(F.lit("Part  "), (F.col("l_partkey") % 40).cast("string")), F.col("l_linenumber")
+    t = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.when(n <= 3, title)).alias("g"), F.collect_list(F.when(n >= 2, F.upper(title))).alias("v"))
+    c = t.select("l_orderkey", evidence.title_coverage(F.col("g"), F.col("v")).alias("c"))
+    return c.select("l_orderkey", "c.gold", F.array_join("c.matched", ",").alias("matched"), F.round("c.recall", 9).alias("recall"))
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, string_split(coalesce(text, ''), '. ') AS s, turn % 3 - 1 AS i, {_norm("left(coalesce(text, ''), 60)")} AS seen FROM conversations),
+p AS (SELECT conv_id, turn, s[CASE WHEN i < 0 THEN i ELSE i + 1 END] AS s, seen FROM t WHERE len(s) > i),
+q AS (SELECT conv_id, turn % 2 = 0 AND contains(seen, {_norm('s')}) AS hit FROM p WHERE {_norm('s')} <> '')
+SELECT conv_id, coalesce(n, 0) AS gold, coalesce(h, 0) AS visible, round(h * 1.0 / n, 9) AS recall FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN (SELECT conv_id, count(*) AS n, count(*) FILTER (hit) AS h FROM q GROUP BY conv_id) USING (conv_id)""")
+def sentence_visibility(spark, d):
+    c = F.coalesce("text", F.lit(""))
+    title = F.concat(F.lit("Turn "), F.col("turn").cast("string"))
+    t = table(spark, d, "conversations").select("conv_id", F.struct("turn", title.alias("title"), F.split(c, r"\. ").alias("sentences"), (F.col("turn") % 3 - 1).alias("at"), F.left(c, F.lit(60)).alias("text")).alias("x"))
+    t = t.groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    context = F.transform("x", lambda x: F.struct(x["title"].alias("title"), x["sentences"].alias("sentences")))
+    visible = F.transform(F.filter("x", lambda x: x["turn"] % 2 == 0), lambda x: F.struct(F.upper(x["title"]).alias("title"), x["text"].alias("text")))
+    return t.select("conv_id", evidence.sentence_visibility(F.col("x.title"), F.col("x.at"), context, visible).alias("v")).select("conv_id", "v.gold", "v.visible", F.round("v.recall", 9).alias("recall"))
+
+
+_TEMPLATE = "Answer the question. Think first.\nQuestion: {question}?\n"
+
+
+@query("""SELECT conv_id, turn, CASE WHEN coalesce(regexp_replace(text, '\\s', '', 'g'), '') = '' THEN 'empty_question' WHEN turn % 5 = 1 THEN 'missing_dataset_prompt' WHEN turn % 5 = 2 THEN 'invalid_dataset_prompt' WHEN role <> 'user' THEN 'invalid_dataset_prompt_role' WHEN turn % 5 = 3 THEN 'dataset_prompt_drift' END AS error FROM conversations""")
+def prompt_drift(spark, d):
+    """The rows' own prompts are made from turns: some lack one, some have another role or text."""
+    kind, q = F.col("turn") % 5, F.col("text")
+    content = F.concat(prompts.render(_TEMPLATE, q), F.when(kind == 3, " ").otherwise(""))
+    own = F.when(kind != 1, F.filter(F.array(F.struct(F.col("role").alias("role"), content.alias("content"))), lambda x: kind != 2))
+    return table(spark, d, "conversations").select("conv_id", "turn", prompts.prompt_check(own, q, _TEMPLATE)["error"].alias("error"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 6 = 0 THEN 'empty_event' WHEN role = 'user' THEN CASE WHEN turn % 6 = 1 THEN 'invalid_observation_event' END WHEN role = 'assistant' THEN CASE WHEN turn % 6 = 2 THEN 'empty_search' WHEN turn % 6 = 3 THEN 'strict_action_format_error' END ELSE 'unknown_event_kind:' || role END AS error FROM conversations""")
+def event_codes(spark, d):
+    k, role = F.col("turn") % 6, F.col("role")
+    seen = F.when(k == 1, "<information>open").otherwise("<information>x</information>")
+    said = F.when(k == 2, "<think>x</think><search> </search>").when(k == 3, "x <answer>y</answer>").otherwise("x</think><answer>y</answer>")
+    event = F.when(k == 0, " \n").when(role == "user", seen).otherwise(said)
+    kind = F.when(role == "user", "observation").when(role == "assistant", "generated").otherwise(role)
+    return table(spark, d, "conversations").select("conv_id", "turn", prompts.event_error(kind, event).alias("error"))
+
+
+@query("""SELECT doc_id, source, CAST(row_number() OVER (ORDER BY CASE source WHEN 'src2' THEN 0 WHEN 'src0' THEN 1 ELSE 2 END, sha256('11:' || doc_id), doc_id) - 1 AS INT) AS position FROM documents QUALIFY position < 50000""")
+def seeded_manifest(spark, d):
+    """The evaluation set: 50,000 rows, some sources first."""
+    return selection.seeded_limit(table(spark, d, "documents").select("doc_id", "source"), "doc_id", 50_000, 11, ["src2", "src0"], "source")
+
+
+def _shares_sql(of: str, total: str, name: str) -> str:
+    x = f"({total}) * coalesce({of} / nullif(CAST(sum({of}) OVER () AS DOUBLE), 0), 0)"
+    return f"SELECT *, CAST(floor(x) + CASE WHEN row_number() OVER (ORDER BY x - floor(x) DESC, lang, source) <= ({total}) - sum(floor(x)) OVER () THEN 1 ELSE 0 END AS BIGINT) AS {name} FROM (SELECT *, {x} AS x FROM"
+
+
+@query(f"""WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), s AS (SELECT count(*) AS all_rows FROM documents),
+a AS ({_shares_sql('n', 'SELECT all_rows * 6 // 10 FROM s', 'train')} c)), b AS ({_shares_sql('rest', 'SELECT all_rows // 10 FROM s', 'held')} (SELECT lang, source, train, n - train AS rest FROM a))),
+r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY sha256('5:' || doc_id), doc_id) AS rank FROM documents)
+SELECT doc_id, CASE WHEN rank <= train THEN 'train' WHEN rank <= train + held THEN 'eval' ELSE 'reserve' END AS split FROM r JOIN b ON r.lang IS NOT DISTINCT FROM b.lang AND r.source IS NOT DISTINCT FROM b.source""")
+def train_eval_split(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "lang", "source")
+    n = rows.count()
+    return selection.split(rows, ["lang", "source"], "doc_id", n * 6 // 10, n // 10, 5).select("doc_id", "split")
+
+
+_CELL_SHARES = {"user": 0.55, "assistant": 0.45}
+
+
+@query("""WITH p AS (SELECT role, CASE turn WHEN 0 THEN 'one' WHEN 1 THEN 'two' ELSE 'three_plus' END AS bucket, count(*) AS available FROM conversations GROUP BY ALL),
+w AS (SELECT * FROM (VALUES ('user', 'one', 275), ('user', 'two', 165), ('user', 'three_plus', 110), ('assistant', 'one', 225), ('assistant', 'two', 135), ('assistant', 'three_plus', 90)) t(role, bucket, needed))
+SELECT role, bucket, needed, coalesce(available, 0) AS available FROM w LEFT JOIN p USING (role, bucket) WHERE coalesce(available, 0) < needed""")
+def shortage_report(spark, d):
+    turn = F.col("turn")
+    pool = table(spark, d, "conversations").select("role", F.when(turn == 0, "one").when(turn == 1, "two").otherwise("three_plus").alias("bucket"))
+    targets = selection.cell_targets(1000, _CELL_SHARES, {"one": 0.5, "two": 0.3, "three_plus": 0.2}, {s: {"": 1.0} for s in _CELL_SHARES})
+    return selection.shortages(pool, ["role", "bucket"], {k[:2]: n for k, n in targets.items()})
+
+
+@query(_replay_sql(4, False) + _REASONS + """, tt AS (SELECT count(*) AS n, count(*) FILTER (termination = 'format_error') AS errors, round(avg(CASE WHEN len(reasons) = 0 THEN 1.0 ELSE 0 END), 9) AS strict_rate, round(avg(CASE WHEN searches >= 2 THEN 1.0 ELSE 0 END), 9) AS multi_rate, round(avg(CASE WHEN termination = 'search_limit' THEN 1.0 ELSE 0 END), 9) AS limit_rate FROM rr),
+ff AS (SELECT *, list_sort(list_filter([CASE WHEN strict_rate < 0.3 THEN 'strict_rate' END, CASE WHEN multi_rate < 0.5 THEN 'multi_rate' END, CASE WHEN limit_rate > 0.05 THEN 'limit_rate' END], lambda x: x IS NOT NULL)) AS fs FROM tt)
+SELECT n, errors, strict_rate, multi_rate, limit_rate, errors = 0 AS operational, array_to_string(fs, ',') AS failures, len(fs) = 0 AS passed FROM ff""")
+def pilot_gates(spark, d):
+    e = replay.reasons(replay.replay(_turns(spark, d)))
+    rate = lambda c: F.round(F.avg(c.cast("double")), 9)
+    t = e.agg(F.count("*").alias("n"), F.count_if(F.col("termination") == "format_error").alias("errors"), rate(F.col("eligible")).alias("strict_rate"), rate(F.col("searches") >= 2).alias("multi_rate"), rate(F.col("termination") == "search_limit").alias("limit_rate"))
+    t = gates.quality(t, {"strict_rate": 0.3, "multi_rate": 0.5}, {"limit_rate": 0.05})
+    return t.withColumn("operational", gates.operational({"errors": F.col("errors")})).withColumn("failures", F.array_join("failures", ","))
+
+
+@query(_replay_sql(8, False) + _REASONS + """ SELECT episode, searches, termination, len(list_filter(reasons, lambda x: x NOT IN ('repeated_search_query', 'no_new_documents'))) > 0 AS terminal_invalid, len(reasons) = 0 AS strict,
+executed % 2 = 0 AND len(reasons) > 0 AND len(list_filter(reasons, lambda x: x NOT IN ('repeated_search_query', 'no_new_documents'))) = 0 AS recovered FROM rr""")
+def episode_replay_v1(spark, d):
+    """The second protocol: eight attempts, repeats are answered; whether an episode recovered."""
+    e = replay.recovery(replay.reasons(replay.replay(_turns(spark, d), 8)), F.col("executed") % 2 == 0)
+    return e.select("episode", "searches", "termination", "terminal_invalid", "strict", "recovered")

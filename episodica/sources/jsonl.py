@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,3 +59,17 @@ def row_hash(row: Column) -> Column:
 def file_sha256(path: str | Path) -> str:
     with open(path, "rb") as f:
         return hashlib.file_digest(f, "sha256").hexdigest()
+
+
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with their number in the file, from 0: (file, line, value). Rows are counted by block of
+    the file, and the blocks' counts summed up; no line is shuffled."""
+    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    blocks = t.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return t.join(blocks.select("file", "block", "first", before.alias("before")), ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first")).alias("line"), "value")
+
+
+def fetch_lines(hits: DataFrame, lines: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The stored line of each hit, whose id is a line number; null where there is none."""
+    return hits.join(lines.select(F.col("line").alias("_line"), F.col("value").alias("contents")), F.col(doc_id).cast("long") == F.col("_line"), "left").drop("_line")
