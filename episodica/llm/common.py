@@ -19,7 +19,7 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 #: Rows, and bytes of text, that one call of a mapped function gets; bounds what a Python worker holds as
 #: objects. A longer text comes alone.
-SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20
+SLICE_ROWS, SLICE_BYTES = 512, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

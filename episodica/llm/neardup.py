@@ -35,7 +35,7 @@ MOST_SENT = 1_000_000
 #: in no more bits than the sets do in shingles, so a pair whose bitmaps differ too much is no link.
 MAPS = 16
 BITMAP = [f"m{k}" for k in range(MAPS)]
-MEMO_WORDS = 400_000
+MEMO_WORDS = 60_000
 
 _rng = np.random.default_rng(20_240)
 MULTIPLY = _rng.integers(0, 1 << 63, SYMBOLS, np.uint64) * np.uint64(2) + np.uint64(1)
