@@ -34,6 +34,8 @@ EOS = 2
 CHUNK_TOKENS = 1 << 22
 #: Words that a task remembers, and the longest word it remembers.
 MEMO_WORDS, MEMO_BYTES = 400_000, 64
+#: Rows and bytes of text whose new words are encoded together.
+SLICE = 1024, 4 << 20
 
 Piece = tuple[int, int, int]
 
@@ -228,7 +230,7 @@ def pack(docs: DataFrame, tokenizer_path: str, context: int = CONTEXT, tiers: tu
                 yield pa.RecordBatch.from_pydict(dict(zip(arrow.names, map(list, zip(*rows[k : k + 8192], strict=True)), strict=True)), schema=arrow)
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, *SLICE):
                 for doc, found in zip(part.column(0).to_pylist(), words.of(part.column(1).to_pylist()), strict=True):
                     ids.append(doc)
                     tokens.append(found + end)
