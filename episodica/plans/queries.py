@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import evidence, prompts, stats, text
-from ..operators import gates, integrity, observation, replay, retrieval, sampling, selection
+from ..operators import audit, gates, integrity, observation, replay, retrieval, sampling, selection, transfer
 from ..sources.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -393,3 +393,63 @@ def episode_replay_v1(spark, d):
     """The second protocol: eight attempts, repeats are answered; whether an episode recovered."""
     e = replay.recovery(replay.reasons(replay.replay(_turns(spark, d), 8)), F.col("executed") % 2 == 0)
     return e.select("episode", "searches", "termination", "terminal_invalid", "strict", "recovered")
+
+
+_CANDIDATES = _replay_sql(4, False) + _REASONS + """, c AS (SELECT split_part(episode, '-', 1) AS question, CASE WHEN executed % 2 = 0 THEN 'multi' ELSE 'single' END AS source, len(reasons) = 0 AS eligible, executed % 3 = 0 AS correct, termination, reasons, searches, executed, repeated, no_progress, unique_docs,
+CASE WHEN unique_docs >= 6 THEN 'A' WHEN unique_docs >= 3 THEN 'B' ELSE 'C' END AS evidence, unique_docs > 3 AS grounded, 100 * searches + unique_docs AS tokens FROM rr), r AS (SELECT tokens AS v, row_number() OVER (ORDER BY tokens) AS k, count(*) OVER () AS n FROM c) """
+_FUNNEL = {
+    "candidate_count": "count(*)",
+    "unique_question_count": "count(DISTINCT question)",
+    "strict_eligible_count": "count(*) FILTER (eligible)",
+    "strict_eligible_rate": "avg(CASE WHEN eligible THEN 1.0 ELSE 0 END)",
+    "exact_match": "avg(CASE WHEN correct THEN 1.0 ELSE 0 END)",
+    "format_compliance_rate": "avg(CASE WHEN termination <> 'format_error' THEN 1.0 ELSE 0 END)",
+    "generation_truncated_rate": "avg(CASE WHEN termination = 'generation_truncated' THEN 1.0 ELSE 0 END)",
+    "search_limit_rate": "avg(CASE WHEN termination = 'search_limit' THEN 1.0 ELSE 0 END)",
+    "mean_search_actions": "avg(searches)",
+    "mean_executions": "avg(executed)",
+    "mean_unique_documents": "avg(unique_docs)",
+    "multi_search_fraction": "avg(CASE WHEN searches >= 2 THEN 1.0 ELSE 0 END)",
+    "correct_after_repeat_or_no_progress": "count(*) FILTER (correct AND (repeated > 0 OR no_progress > 0))",
+}
+_CELLS = {
+    "source": "SELECT source AS key FROM c",
+    "termination": "SELECT termination AS key FROM c",
+    "searches": "SELECT CAST(searches AS VARCHAR) AS key FROM c",
+    "evidence": "SELECT evidence AS key FROM c WHERE source = 'multi'",
+    "grounding": "SELECT CASE WHEN grounded THEN 'grounded' ELSE 'ungrounded' END AS key FROM c WHERE source = 'single'",
+    "reason": "SELECT unnest(reasons) AS key FROM c",
+}
+
+
+@query(_CANDIDATES + " UNION ALL ".join(
+    [f"SELECT 'all' AS section, '{k}' AS key, round(CAST({v} AS DOUBLE), 9) AS value FROM c" for k, v in _FUNNEL.items()]
+    + [f"SELECT '{k}', key, CAST(count(*) AS DOUBLE) FROM ({v}) GROUP BY key" for k, v in _CELLS.items()]
+    + [f"SELECT 'prompt_tokens', 'q{round(100 * f)}', CAST(max(CASE WHEN k = CAST(round_even((n - 1) * {f}, 0) AS BIGINT) + 1 THEN v END) AS DOUBLE) FROM r" for f in audit.LENGTHS]
+    + ["SELECT 'prompt_tokens', 'mean', round(avg(tokens), 9) FROM c"]))
+def pilot_audit(spark, d):
+    e = replay.reasons(replay.replay(_turns(spark, d)))
+    docs, executed = F.col("unique_docs"), F.col("executed")
+    c = e.withColumns({
+        "question": F.split_part("episode", F.lit("-"), F.lit(1)),
+        "source": F.when(executed % 2 == 0, "multi").otherwise("single"),
+        "correct": executed % 3 == 0,
+        "format_compliant": F.col("termination") != "format_error",
+        "evidence": F.when(docs >= 6, "A").when(docs >= 3, "B").otherwise("C"),
+        "grounded": docs > 3,
+        "prompt_tokens": 100 * F.col("searches") + docs,
+    })
+    return audit.audit(c, "multi", "single").select("section", "key", F.round("value", 9).alias("value"))
+
+
+@query("""WITH t AS (SELECT doc_id, doc_id % 4 AS k, doc_id % 5 <> 0 AND lang IS NOT NULL AND lang <> '' AS present, doc_id % 7 <> 0 AS format, coalesce(quality, 0) AS em FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id % 3 <> 0)
+SELECT doc_id, CASE k WHEN 1 THEN 'repeated_search_query' WHEN 0 THEN '' ELSE 'no_new_documents' END AS recoverable, CASE WHEN k = 3 THEN 'empty_search_query' ELSE '' END AS terminal, present AND format AND k <> 3 AS valid, present AND format AND k = 0 AS strict,
+em = 1 AND present AND format AND k = 0 AS strict_success, em = 1 AND present AND k IN (1, 2) AS recovered_success, CAST(em AS INT) AS v0_exact_match FROM t""")
+def results_taken_over(spark, d):
+    """Results of the first protocol that end as the second would; every third ends in a repeat, which changes."""
+    k = F.col("doc_id") % 4
+    reasons = F.when(k == 1, F.array(F.lit("repeated_search_query"))).when(k == 2, F.array(F.lit("no_new_documents"), F.lit("max_rounds_without_answer"))).when(k == 3, F.array(F.lit("empty_search_query"), F.lit("no_new_documents")))
+    r = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    r = r.select("doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("prediction"), F.col("quality").alias("exact_match"), F.col("quality").cast("double").alias("f1"), (F.col("doc_id") % 7 != 0).alias("format_compliant"), reasons.alias("invalid_reasons"), k.alias("search_count"), (k + 1).alias("search_attempt_count"), F.when(F.col("doc_id") % 3 == 0, "repeated_search").otherwise("answer").alias("termination_reason"))
+    t = transfer.taken_over(r.where(~transfer.affected(F.col("termination_reason"))))
+    return t.select("doc_id", F.array_join("recoverable_reasons", ",").alias("recoverable"), F.array_join("terminal_reasons", ",").alias("terminal"), F.col("valid_trajectory").alias("valid"), F.col("strict_trajectory").alias("strict"), "strict_success", "recovered_success", "v0_exact_match")
