@@ -32,39 +32,36 @@ class Characters:
 
 
 def water_fill(sizes: list[int], room: int) -> list[int]:
-    """Share room evenly among what still wants some; the rest of the division goes to the first."""
+    """Share room evenly among what still wants some; what the division leaves goes to the first, one each."""
     out, open_ = [0] * len(sizes), [i for i, s in enumerate(sizes) if s]
-    while open_ and room:
-        each, rest = divmod(room, len(open_))
-        gives = {i: min(sizes[i] - out[i], each + (k < rest)) for k, i in enumerate(open_)}
-        for i, g in gives.items():
-            out[i] += g
-            room -= g
+    while open_ and room > 0:
+        each = max(1, room // len(open_))
+        for i in open_:
+            give = min(each, sizes[i] - out[i], room)
+            out[i] += give
+            room -= give
         open_ = [i for i in open_ if out[i] < sizes[i]]
-        if not any(gives.values()):
-            break
     return out
 
 
-def observation(titles: list[str], bodies: list[str], tokenizer: Tokenizer, budget: int = OBSERVATION_TOKENS) -> tuple[str, int, bool]:
+def observation(titles: list[str | None], bodies: list[str | None], tokenizer: Tokenizer, budget: int = OBSERVATION_TOKENS) -> tuple[str, int, bool]:
     """(text, tokens, truncated): all titles, and bodies cut to what the budget leaves; while the whole is too
     long, the longest body (the first of equals) loses a token."""
-    ids = [tokenizer.encode(b) for b in bodies]
+    names = [(t or "").strip() or "Untitled" for t in titles]
+    ids = [tokenizer.encode((b or "").strip()) for b in bodies]
 
     def build(limits):
-        parts = (f"Doc {k + 1}(Title: {t}) {tokenizer.decode(x[:n]).strip()}".rstrip() for k, (t, x, n) in enumerate(zip(titles, ids, limits, strict=True)))
+        parts = (f"Doc {k + 1}(Title: {t}) {tokenizer.decode(x[:n]).strip()}".rstrip() for k, (t, x, n) in enumerate(zip(names, ids, limits, strict=True)))
         return "\n".join(("<information>", *parts, "</information>"))
 
     size = lambda limits: len(tokenizer.encode(build(limits)))
-    limits = [len(x) for x in ids]
+    sizes = [len(x) for x in ids]
     if (heads := size([0] * len(ids))) > budget:
         raise ValueError("observation_headers_exceed_budget")
-    if size(limits) > budget:
-        limits = water_fill(limits, budget - heads)
-        while size(limits) > budget and any(limits):
-            limits[max(range(len(limits)), key=lambda i: limits[i])] -= 1
-    text = build(limits)
-    return text, len(tokenizer.encode(text)), limits != [len(x) for x in ids]
+    limits = water_fill(sizes, budget - heads)
+    while (n := size(limits)) > budget and any(limits):
+        limits[max(range(len(limits)), key=lambda i: limits[i])] -= 1
+    return build(limits), n, limits != sizes
 
 
 def compile_trace(kinds: list[str], texts: list[str], tokenizer: Tokenizer, limit: int = SEQUENCE_TOKENS) -> tuple[list[int], list[int], str | None]:

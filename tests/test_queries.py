@@ -1,3 +1,7 @@
+import hashlib
+import math
+from collections import defaultdict
+
 import pytest
 from oracle import DATA, duck, rows
 
@@ -16,6 +20,45 @@ def test_observation_budget(spark):
     assert got and all(r["tokens"] <= 768 and len(r["text"]) == r["tokens"] for r in got)
 
 
+def plain_observation(hits, most=768):
+    """Top hits (title, body) within so many characters, in full rounds of equal shares, then one off the longest."""
+    hits = [((t or "").strip() or "Untitled", (b or "").strip()) for t, b in hits]
+
+    def build(limits):
+        bodies = [b[:n].strip() for (_, b), n in zip(hits, limits, strict=True)]
+        return "\n".join(["<information>", *(f"Doc {k}(Title: {t})" + (b and f" {b}") for k, ((t, _), b) in enumerate(zip(hits, bodies, strict=True), 1)), "</information>"])
+
+    limits, want = [0] * len(hits), [len(b) for _, b in hits]
+    left = most - len(build(limits))
+    while left > 0 and (active := [i for i, n in enumerate(want) if limits[i] < n]):
+        share = max(1, left // len(active))
+        for i in active:
+            add = min(share, want[i] - limits[i], left)
+            limits[i], left = limits[i] + add, left - add
+    while len(build(limits)) > most:
+        limits[limits.index(max(limits))] -= 1
+    return build(limits), len(build(limits)), limits != want
+
+
+def test_observations_of_all_documents(spark):
+    order = lambda r: hashlib.sha256(f"3:{r['doc_id']}:{hashlib.sha256(r['text'].encode()).hexdigest()}".encode()).hexdigest()
+    of = defaultdict(list)
+    for r in sorted(spark.read.parquet(f"{DATA}/documents.parquet").collect(), key=order):
+        of[r["source"]].append((str(r["doc_id"]), r["text"]))
+    got = {(r["source"], r["part"]): (r["text"], r["tokens"], r["truncated"]) for r in QUERIES["observation_budget"](spark, DATA).collect()}
+    want = {(s, k): plain_observation(x[3 * k : 3 * k + 3]) for s, x in of.items() for k in range(math.ceil(len(x) / 3))}
+    assert got == want
+    assert sum(text.count("\nDoc ") for text, _, _ in got.values()) >= sum(map(len, of.values()))
+
+
+def test_observation_rows_without_id_or_text(spark, tmp_path):
+    docs = [(1, "x"), (1, "y"), (None, "z"), (None, None), (2, " \n"), (3, "a" * 2000), (4, " b" * 2000)]
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["observation_budget"](spark, str(tmp_path)).collect()
+    assert len(got) == 3 and sum(r["text"].count("\nDoc ") for r in got) == len(docs)
+    assert sum(r["text"].count("(Title: Untitled)") for r in got) == 2 and all(r["tokens"] <= 768 for r in got)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
