@@ -12,9 +12,10 @@ def results(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.readStream.schema(schema).json(path)
 
 
-def once(stream: DataFrame, key: str, time: str, lateness: str = "1 day") -> DataFrame:
-    """The first row of each id; state is kept as long as the lateness."""
-    return stream.withWatermark(time, lateness).dropDuplicatesWithinWatermark([key])
+def once(stream: DataFrame, key: str, time: str | None = None) -> DataFrame:
+    """One row of each id, whatever its time: none is late. The state keeps every id that was ever written, like
+    the ids that a resumed run of the reference reads back, and grows with them. ``time`` bounds nothing."""
+    return stream.dropDuplicates([key])
 
 
 def append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -122,3 +122,13 @@ def test_resume(spark, tmp_path):
         spark.createDataFrame([(i,) for i in ids], "id long").withColumn("at", F.lit("2024-01-01").cast("timestamp")).write.mode("append").json(src)
         resume.append(resume.once(resume.results(spark, src, s), "id", "at"), out, ck).awaitTermination()
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+def test_resume_of_old_and_returning_ids(spark, tmp_path):
+    s = T.StructType([T.StructField("id", T.LongType()), T.StructField("at", T.TimestampType())])
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    runs = [[(1, "2024-01-01"), (2, "2024-01-10")], [(3, "2024-01-02"), (4, "2024-02-01")], [(1, "2024-02-02"), (4, "2023-01-01"), (5, "2020-01-01")], [(2, "2024-03-01"), (6, "2024-03-01")]]
+    for rows in runs:
+        spark.createDataFrame(rows, "id long, at string").withColumn("at", F.col("at").cast("timestamp")).write.mode("append").json(src)
+        resume.append(resume.once(resume.results(spark, src, s), "id", "at"), out, ck).awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4, 5, 6]
