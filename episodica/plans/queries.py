@@ -261,7 +261,8 @@ def bm25_top3(spark, d):
     return retrieval.search(retrieval.postings(docs), lengths, queries).select("query_id", "doc_id", "rank")
 
 
-_ACTION = "'<think>' || left(text, 20) || '</think> <' || CASE WHEN turn % 2 = 0 THEN 'search' ELSE 'answer' END || '>' || CASE WHEN turn % 5 = 3 THEN '' ELSE 'x' || substr(text, 1, 5) END || '</' || CASE WHEN turn % 3 = 1 THEN 'answer' WHEN turn % 2 = 0 THEN 'search' ELSE 'answer' END || '>'"
+# Whole texts as think and content.
+_ACTION = "'<think>' || text || '</think> <' || CASE WHEN turn % 2 = 0 THEN 'search' ELSE 'answer' END || '>' || CASE WHEN turn % 5 = 3 THEN '' ELSE text END || '</' || CASE WHEN turn % 3 = 1 THEN 'answer' WHEN turn % 2 = 0 THEN 'search' ELSE 'answer' END || '>'"
 
 
 @query("""SELECT conv_id, turn, CASE WHEN NOT ok THEN NULL WHEN turn % 5 = 3 THEN NULL ELSE k END AS kind, CASE WHEN NOT ok THEN 'strict_action_format_error' WHEN turn % 5 = 3 THEN 'empty_' || k END AS error
@@ -323,6 +324,22 @@ def sentence_visibility(spark, d):
     return t.select("conv_id", evidence.sentence_visibility(F.col("x.title"), F.col("x.at"), context, visible).alias("v")).select("conv_id", "v.gold", "v.visible", F.round("v.recall", 9).alias("recall"))
 
 
+@query(f"""WITH t AS (SELECT conv_id, turn, string_split(coalesce(text, ''), '. ') AS s, turn % 3 - 1 AS i, {_norm("coalesce(text, '')")} AS seen FROM conversations),
+p AS (SELECT conv_id, turn, s[CASE WHEN i < 0 THEN i ELSE i + 1 END] AS s, seen FROM t WHERE len(s) > i),
+q AS (SELECT conv_id, turn % 2 = 0 AND contains(seen, {_norm('s')}) AS hit FROM p WHERE {_norm('s')} <> '')
+SELECT conv_id, coalesce(n, 0) AS gold, coalesce(h, 0) AS visible, round(h * 1.0 / n, 9) AS recall FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN (SELECT conv_id, count(*) AS n, count(*) FILTER (hit) AS h FROM q GROUP BY conv_id) USING (conv_id)""")
+def sentence_visibility_whole(spark, d):
+    """As ``sentence_visibility``, with the whole text of a visible turn. Titles are turns, so each turn is looked up
+    in itself and a long conversation is only a sum."""
+    c = F.coalesce("text", F.lit(""))
+    title = F.concat(F.lit("Turn "), F.col("turn").cast("string"))
+    context = F.array(F.struct(title.alias("title"), F.split(c, r"\. ").alias("sentences")))
+    visible = F.filter(F.array(F.struct(F.upper(title).alias("title"), c.alias("text"))), lambda x: F.col("turn") % 2 == 0)
+    v = table(spark, d, "conversations").select("conv_id", evidence.sentence_visibility(F.array(title), F.array(F.col("turn") % 3 - 1), context, visible).alias("v"))
+    g = v.groupBy("conv_id").agg(F.sum("v.gold").alias("gold"), F.sum("v.visible").alias("visible"))
+    return g.withColumn("recall", F.round(evidence.share(F.col("visible"), F.col("gold")), 9))
+
+
 _TEMPLATE = "Answer the question. Think first.\nQuestion: {question}?\n"
 
 

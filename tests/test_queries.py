@@ -1,5 +1,6 @@
 import hashlib
 import math
+import re
 from collections import defaultdict
 
 import pytest
@@ -59,6 +60,42 @@ def test_observation_rows_without_id_or_text(spark, tmp_path):
     assert sum(r["text"].count("(Title: Untitled)") for r in got) == 2 and all(r["tokens"] <= 768 for r in got)
 
 
+def conversations(spark, path, turns):
+    spark.createDataFrame([(1, k, "user", t) for k, t in enumerate(turns)], "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    return str(path)
+
+
+def plain_action(raw):
+    found = re.fullmatch(r"\s*<think>(.*?)</think>\s*(?:<search>(?P<search>.*?)</search>|<answer>(?P<answer>.*?)</answer>)\s*", raw, re.I | re.S)
+    if not found:
+        return None, "strict_action_format_error"
+    kind = "search" if found["search"] is not None else "answer"
+    think, content = found[1].strip(), found[kind].strip()
+    if not think or not content:
+        return None, "empty_think" if not think else f"empty_{kind}"
+    if any(re.search(r"</?(?:think|search|answer|information)>", x, re.I) for x in (think, content)):
+        return None, "forbidden_protocol_tag_in_action_content"
+    return kind, None
+
+
+def test_parse_actions_of_whole_texts(spark, tmp_path):
+    far = "x" * 70
+    texts = [f"{far}\n\n two\t lines ", f"{far} <information> late", f"{far}</think> late", f"{far}</ANSWER>", f"{far} <Think> late", f" \n{far}</search>\n", f"{far} ~ < > </none>"]
+    turns = [t for t in texts for _ in range(10)]
+    got = {r["turn"]: (r["kind"], r["error"]) for r in QUERIES["parse_actions"](spark, conversations(spark, tmp_path, turns)).collect()}
+    want = {}
+    for k, t in enumerate(turns):
+        kind = "answer" if k % 2 else "search"
+        want[k] = plain_action(f"<think>{t}</think> <{kind}>{'' if k % 5 == 3 else t}</{'answer' if k % 3 == 1 else kind}>")
+    assert got == want and len({e for _, e in got.values()}) == 5
+
+
+def test_visible_sentences_after_the_first_sixty_characters(spark, tmp_path):
+    turns = ["One. Two.", "One. Two.", f"{'long ' * 20}. Second one. Last", f"{'long ' * 20}. x. Late one, here", f"{'long ' * 20}. Second. Last"]
+    got = QUERIES["sentence_visibility_whole"](spark, conversations(spark, tmp_path, turns)).collect()
+    assert [tuple(r) for r in got] == [(1, 5, 3, 0.6)]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
