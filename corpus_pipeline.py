@@ -31,15 +31,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays; of rows that share a doc_id, one."""
+    """One row of each component stays, that of the smallest doc_id. Rows with different texts are different
+    rows, also if they share a doc_id. What has no doc_id stays."""
     docs = pick(docs, *DOCUMENT_COLUMNS)
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi")
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
+    known = docs.where("doc_id is not null")
+    if known.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        out = first_rows(known)
+    else:
+        kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+        out = docs.join(kept, "doc_id", "left_semi")
     return out.union(docs.where("doc_id is null"))
 
 
+def first_rows(docs: DataFrame) -> DataFrame:
+    """The first row of each component by doc_id and digest of its text, whatever order tasks run in."""
+    row = F.min(F.struct("lang", "source", "n_chars", "text")).alias("row")
+    rows = docs.groupBy("doc_id", F.sha2("text", 256).alias("digest")).agg(row)
+    rows = written(rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "digest", "row.*"), "pipeline-rows")
+    found = near_duplicates(rows.select(F.col("row_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_id"), "component_id")
+    first = rows.select("row_id", "doc_id", "digest").join(found, "row_id").groupBy("component_id").agg(F.min(F.struct("doc_id", "digest", "row_id")).alias("x"))
+    return rows.join(first.select("x.row_id"), "row_id", "left_semi").select(*DOCUMENT_COLUMNS)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, each once."""
     docs = pick(docs, *DOCUMENT_COLUMNS)

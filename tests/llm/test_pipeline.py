@@ -1,5 +1,7 @@
 """The pipeline's stages, each against a plain version of what it decides on its own input."""
 
+import hashlib
+import random
 import re
 
 import corpus_pipeline as pipeline
@@ -33,3 +35,20 @@ def test_stages(spark):
 
 def test_run(spark):
     assert pipeline.run(spark, DATA).count() > 0
+
+
+def test_dedup_of_repeated_ids(spark):
+    rng = random.Random(3)
+    a, b, c, d, x, y, z = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(7))
+    near = lambda t: t + " tail"
+    rows = [(3, a), (7, a), (7, b), (1, x), (2, near(x)), (2, y), (9, c), (9, c), (8, near(c)), (5, d), (5, near(d)), (6, z), (6, ""), (None, a), (None, a)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], schema)
+    unique = sorted({r for r in rows if r[0] is not None}, key=lambda r: (r[0], hashlib.sha256(r[1].encode()).hexdigest()))
+    found, _ = brute_components({k: t for k, (_, t) in enumerate(unique)}, 5)
+    want = sorted([unique[k] for k in set(found.values())] + [(-1, a)] * 2)
+    for parts in (1, 7):
+        out = pipeline.dedup(spark, docs.repartition(parts), DATA)
+        assert tuple(out.columns) == DOCUMENT_COLUMNS
+        assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in out.collect()) == want
+    assert {(3, a), (7, b), (1, x), (2, y), (8, near(c)), (6, z), (6, "")} <= set(want) and len(want) == 10
