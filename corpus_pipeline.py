@@ -66,7 +66,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("language", language), ("dedup", dedup), ("mix", mix), ("packing", packed)]
 
-#: Hashing, tokenizing and packing are beyond SQL; the tests hold the stages against brute force.
+#: Hashing, tokenizing and packing are beyond SQL; the tests hold each stage's ids and run() against plain rules, and
+#: languages against the same model on the driver.
 ORACLE_SQL = None
 
 

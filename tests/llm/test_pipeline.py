@@ -3,11 +3,18 @@
 import hashlib
 import random
 import re
+import zlib
+from collections import Counter, defaultdict
+from itertools import accumulate
 
 import corpus_pipeline as pipeline
+import numpy as np
+import public_tokenizers
 from oracle import DATA
-from test_operators import brute_components
+from test_operators import brute_components, fill
+from tokenizers import Tokenizer
 
+from episodica.llm import langid
 from episodica.llm.common import DOCUMENT_COLUMNS
 
 
@@ -52,3 +59,85 @@ def test_dedup_of_repeated_ids(spark):
         assert tuple(out.columns) == DOCUMENT_COLUMNS
         assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in out.collect()) == want
     assert {(3, a), (7, b), (1, x), (2, y), (8, near(c)), (6, z), (6, "")} <= set(want) and len(want) == 10
+
+
+WORD = "[^\x20\x09-\x0d]+"
+
+
+def plain_quality(text):
+    words, chars = re.findall(WORD, text), len("".join(re.findall(WORD, text)))
+    covered = {}
+    for n in (3, 5, 7, 10):
+        windows, seen, hit = [tuple(words[k : k + n]) for k in range(len(words) - n + 1)], set(), set()
+        count = Counter(windows)
+        for k, x in enumerate(windows):
+            if count[x] > 1 if n == 3 else x in seen:
+                hit.update(range(k, k + n))
+            seen.add(x)
+        covered[n] = len(hit) if n == 3 else sum(len(words[k]) for k in hit)
+    lines, repeated = set(), 0
+    for line in (x for x in text.split("\n") if re.search(WORD, x)):
+        repeated += len("".join(re.findall(WORD, line))) if line in lines else 0
+        lines.add(line)
+    most = {5: 0.15, 7: 0.13, 10: 0.10}
+    return len(words) >= 50 and 2 * covered[3] <= len(words) and repeated <= 0.2 * chars and all(covered[n] <= m * chars for n, m in most.items())
+
+
+def plain_mix(rows):
+    """Budgets level by level, then each leaf's documents in the order of their digests until its rest is spent."""
+    tokens = {i: len(re.findall(WORD, r["text"])) for i, r in rows.items()}
+    path = {i: (f"domain{zlib.crc32(r['source'].encode()) % 4}", r["lang"], r["source"]) for i, r in rows.items()}
+    supply = Counter()
+    for i, p in path.items():
+        for k in range(4):
+            supply[p[:k]] += tokens[i]
+    budget = {(): float(int(sum(tokens.values()) * pipeline.MIX_SHARE))}
+    weights = pipeline.MIX_WEIGHTS
+    for k in range(3):
+        for parent in [p for p in supply if len(p) == k]:
+            budget |= fill(budget[parent], {p: (supply[p], weights.get("/".join(p), weights.get(p[-1], 1.0))) for p in supply if p[:-1] == parent and len(p) == k + 1})
+    leaves, taken = defaultdict(list), set()
+    for i, p in path.items():
+        leaves[p].append(i)
+    for p, ids in leaves.items():
+        rest = int(budget[p] + 1e-6)
+        whole = int(rest >= supply[p])
+        ids.sort(key=lambda i, whole=whole: hashlib.md5(f"20240:{whole}:{i}".encode()).hexdigest())
+        taken |= {i for i, at in zip(ids, accumulate((tokens[i] for i in ids), initial=0)) if whole or at < rest}
+    return taken
+
+
+def assert_packed(packs, rows):
+    library, cover = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), defaultdict(list)
+    for r in packs:
+        cover[r["doc_id"]].append((r["start"], r["length"], r["ids_crc32"]))
+    assert set(cover) == set(rows)
+    for i, spans in cover.items():
+        ids, at = np.array([*library.encode(rows[i]["text"], add_special_tokens=False).ids, 2], "<u4"), 0
+        for start, length, crc in sorted(spans):
+            assert start == at and zlib.crc32(ids[start : start + length].tobytes()) == crc
+            at += length
+        assert at == len(ids)
+
+
+def test_stage_verdicts(spark):
+    """The kept ids of each stage, and the rows of run(), by plain rules; languages by the same model on the driver."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for name, stage in pipeline.STAGES[:-1]:
+        before = {r["doc_id"]: r for r in docs.collect()}
+        if name == "quality":
+            want = {i for i, r in before.items() if plain_quality(r["text"])}
+        elif name == "language":
+            model = langid.train(docs)
+            x = {i: langid.features(r["text"]) for i, r in before.items()}
+            want = {i for i, v in x.items() if v is not None and model.predict(v)[1] >= langid.MIN_SCORE}
+        elif name == "dedup":
+            want = set(brute_components({i: r["text"] for i, r in before.items()}, 5)[0].values())
+        else:
+            want = plain_mix(before)
+        docs = stage(spark, docs, DATA).cache()
+        after = {r["doc_id"]: r for r in docs.collect()}
+        assert set(after) == want, name
+    assert 0 < len(after) < len(before)
+    assert_packed(pipeline.STAGES[-1][1](spark, docs, DATA).collect(), after)
+    assert_packed(pipeline.run(spark, DATA).collect(), after)
