@@ -10,12 +10,13 @@ differently when the text ends inside them.
 from __future__ import annotations
 
 import json
-from array import array
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
@@ -25,6 +26,8 @@ from .common import Memo, map_slices, pick, text_or_empty
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LIMIT = 1024
 MEMO_WORDS, MEMO_BYTES = 400_000, 64
+#: White space side by side; separators that only some engines call white space.
+RUNS, ODD = re.compile(r"\s{2,}"), re.compile("[\x1c-\x1f]")
 
 
 def byte_letters() -> dict[str, int]:
@@ -73,6 +76,7 @@ class PrefixCounter:
         self.pairs: dict[int, bool] = {}
         self.memo = Memo(MEMO_WORDS, self.piece)
         self.word_memo = Memo(MEMO_WORDS, self.whole)
+        self.point_memo = Memo(MEMO_WORDS, self.points)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether encoding the bytes of tokens a and b together gives a and b: undo both tokens' merges, the
@@ -131,8 +135,12 @@ class PrefixCounter:
                     break
 
     def learn(self, words: list[str]) -> dict[str, int]:
-        """Counts of many words. In sorted order a word shares its first bytes' counts with the one before."""
-        out: dict[str, int] = {}
+        """Counts of many words."""
+        return {w: count[-1] for w, _, count in self.sweep(words)}
+
+    def sweep(self, words: list[str]) -> Iterator[tuple[str, bytes, list[int]]]:
+        """Each word with its counts at byte prefixes, which hold until the next one. In sorted order a word shares
+        its first bytes' counts with the one before."""
         before, last, count = b"", [-1], [0]
         for raw, w in sorted((w.encode(), w) for w in words):
             same, most = 0, min(len(raw), len(before))
@@ -140,48 +148,75 @@ class PrefixCounter:
                 same += 1
             del last[same + 1 :], count[same + 1 :]
             self.extend(raw, last, count)
-            out[w] = count[-1]
+            yield w, raw, count
             before = raw
-        return out
+
+    def prepare(self, texts: list[str]) -> None:
+        """Learn together what is new in the texts, for their prefixes."""
+        new = self.point_memo.unknown({w for t in texts for w in self.words.findall(t) if len(w) <= MEMO_BYTES})
+        for w, raw, counts in self.sweep(new):
+            self.point_memo.put(w, self.of_points(w, raw, counts))
 
     def plain(self, text: str) -> list[int]:
         """Counts at all code point prefixes of a text without special strings."""
         out, base = [0], 0
         for m in self.words.finditer(text):
             w, start, end = m[0], m.start(), m.end()
-            if w[0] == "'" and len(w) == 3:
-                out += [base + 1, base + 2, base + self.word(w.encode())[-1]]
-            elif w.isspace():
+            own = self.at_points(w)
+            if w.isspace():
                 # A text that ends inside a run of white space has the whole run so far as one word.
                 run = start
                 while run and text[run - 1].isspace():
                     run -= 1
                 if run == start:
-                    out += [base + c for c in self.at_points(w)[1:]]
+                    out += [base + c for c in own]
                 else:
                     before = out[run]
-                    out += [before + c for c in self.at_points(text[run:end])[start - run + 1 :]]
+                    out += [before + c for c in self.at_points(text[run:end])[start - run :]]
             else:
-                counts = [base + c for c in self.at_points(w)[1:]]
+                at = len(out)
+                out += [base + c for c in own]
                 if w[0] == " " and start and text[start - 1].isspace():
                     run = start
                     while run and text[run - 1].isspace():
                         run -= 1
-                    counts[0] = out[run] + self.at_points(text[run : start + 1])[-1]
-                out += counts
-            base += self.whole(w)
+                    out[at] = out[run] + self.at_points(text[run : start + 1])[-1]
+            base += own[-1]
+        return out
+
+    def stored(self, text: str) -> np.ndarray:
+        """``prefixes``, put together from the words' counts at once; white space that stands side by side is one
+        word of its own in the prefixes that end in it."""
+        memo = self.point_memo
+        own = [memo[w] if len(w) <= MEMO_BYTES else self.points(w) for w in self.words.findall(text)]
+        if not own or ODD.search(text) or self.special and self.special.search(text) or not all(type(x) is bytes for x in own):
+            return np.array(self.prefixes(text), "<u4")
+        flat, sizes = np.frombuffer(b"".join(own), np.uint8), np.fromiter(map(len, own), np.int64, len(own))
+        totals = flat[np.cumsum(sizes) - 1].astype("<u4")
+        out = np.zeros(len(flat) + 1, "<u4")
+        out[1:] = np.repeat(np.cumsum(totals, dtype="<u4") - totals, sizes)
+        out[1:] += flat
+        for m in RUNS.finditer(text):
+            out[m.start() + 1 : m.end() + 1] = out[m.start()] + np.array(list(self.at_points(m[0])), "<u4")
         return out
 
     def whole(self, word: str) -> int:
         return self.word(word.encode())[-1]
 
-    def at_points(self, word: str) -> list[int]:
-        """A word's counts at its code points."""
+    def at_points(self, word: str) -> bytes | list[int]:
+        """A word's counts at its code points, from the first."""
+        return self.point_memo[word] if len(word) <= MEMO_BYTES else self.points(word)
+
+    def points(self, word: str) -> bytes | list[int]:
         raw = word.encode()
-        counts = self.word(raw)
-        if len(raw) == len(word):
-            return counts
-        return [0, *(counts[end] for end in accumulate(len(c.encode()) for c in word))]
+        return self.of_points(word, raw, self.word(raw))
+
+    @staticmethod
+    def of_points(word: str, raw: bytes, counts: list[int]) -> bytes | list[int]:
+        if len(word) == 3 and word[0] == "'" and word[1].isalpha():  # a contraction; before its end these are two words
+            return bytes((1, 2, counts[-1]))
+        found = counts[1:] if len(raw) == len(word) else [counts[end] for end in accumulate(len(c.encode()) for c in word)]
+        return bytes(found) if len(raw) < 256 else found
 
     def prefixes(self, text: str) -> list[int]:
         """Counts at all code point prefixes, special strings included: a special string counts as text
@@ -276,13 +311,19 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, with_
 
         def f(batch):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            if with_prefixes:
+                return {"doc_id": ids} | from_prefixes(texts)
             found = list(counter.counts(texts))
             tokens = [sum(c) for _, c in found]
             out = {"doc_id": ids, "n_bytes": [len(t.encode("utf-8", "replace")) for t in texts], "n_tokens": tokens, "over_limit": [n > limit for n in tokens], "fit_chars": [counter.fits(*x, limit) if n > limit else len(t) for t, n, x in zip(texts, tokens, found, strict=True)]}
-            if with_prefixes:
-                out["prefix_counts"] = [array("I", counter.prefixes(t)).tobytes() for t in texts]
             return out
 
+        def from_prefixes(texts):
+            """All columns from the stored counts; no text is encoded again."""
+            counter.prepare(texts)
+            stored = [counter.stored(t) for t in texts]
+            return {"n_bytes": [len(t.encode("utf-8", "replace")) for t in texts], "n_tokens": [int(x[-1]) for x in stored], "over_limit": [bool(x[-1] > limit) for x in stored], "fit_chars": [int(np.flatnonzero(x <= limit)[-1]) for x in stored], "prefix_counts": [x.tobytes() for x in stored]}
+
         return f
 
     rows = pick(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"))

@@ -101,6 +101,24 @@ def test_parse(docs):
     assert all(fingerprints.parse(t, set()) == phrases(t) for t in [*docs.values(), "", "aaaaaaa", "abababab"])
 
 
+def test_stored_prefix_counts(spark, docs):
+    library, rng = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(5)
+    rows = collected(spark, "op2_token_counts")
+    assert {r["doc_id"] for r in rows} == set(docs)
+    for r in rows:
+        t, at = docs[r["doc_id"]], np.frombuffer(r["prefix_counts"], "<u4")
+        assert len(at) == len(t) + 1 and r["n_tokens"] == at[-1] and r["fit_chars"] == max(k for k, c in enumerate(at) if c <= 1024)
+        for k in (0, 1, len(t), r["fit_chars"], *(rng.randint(0, len(t)) for _ in range(4))):
+            assert k > len(t) or at[k] == len(library.encode(t[:k], add_special_tokens=False).ids)
+    counter = tokencount.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    parts = [*" \n\t'srevlldmtaZé1２!< 　語\x1c", "<|endoftext|>", "  ", "'re", "\'\'\'", "\n ", " the", "x" * 70, "語" * 90]
+    for _ in range(300):
+        s = "".join(rng.choices(parts, k=rng.randint(0, 14)))
+        assert counter.stored(s).tolist() == counter.prefixes(s)
+        if "\x1c" not in s and len(s) < 40:
+            assert counter.stored(s).tolist() == [len(library.encode(s[:k], add_special_tokens=False).ids) for k in range(len(s) + 1)]
+
+
 def test_token_counts(spark, docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
