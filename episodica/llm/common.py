@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -70,20 +73,50 @@ class Memo(dict):
         self[key] = value
         return value
 
+    def known(self, key):
+        """What is remembered, else None."""
+        value = self.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
     def unknown(self, keys: set) -> list:
         return [k for k in keys.difference(self) if k not in self.old]
 
 
-def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list]]], ddl: str, rows: int = SLICE_ROWS) -> DataFrame:
+_kept: dict = {}
+
+
+def kept_by_worker(key: tuple, make: Callable):
+    """What a Python worker keeps from task to task: one thing, the last."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def freed(*but: tuple) -> None:
+    """At a task's start: free what an earlier task of another operator has left in this Python worker, so that
+    workers do not gather the memos of all stages."""
+    if _kept.keys() - set(but):
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list]]], ddl: str, rows: int = SLICE_ROWS, keeps: tuple = ()) -> DataFrame:
     """Map Arrow record batches in slices of at most ``rows`` rows.
 
     ``make`` is called once in each task and gives the function that turns a slice into columns; what it
-    builds (vocabularies, memos) lives as long as the task.
+    builds (vocabularies, memos) lives as long as the task, unless ``kept_by_worker`` keeps it, as ``keeps``.
     """
     schema = struct(ddl)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freed(keeps)
         f = make()
         for batch in batches:
             for part in slices(batch, rows):
@@ -98,6 +131,7 @@ def accepted(docs: DataFrame, make: Callable[[], Callable[[list], list[bool]]])
     rows = pick(docs, *DOCUMENT_COLUMNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freed()
         f = make()
         for batch in batches:
             for part in slices(batch):

@@ -13,107 +13,145 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
 import zlib
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Memo, pick, slices, struct, text_or_empty
+from .common import Memo, freed, kept_by_worker, pick, slices, struct, text_or_empty
 
 CONTEXT = 4096
 TIERS = (512, 1024, 2048)
 EOS = 2
-#: A chunk ends when it holds so many tokens: 16 MB of ids.
-CHUNK_TOKENS = 1 << 22
-#: Words that a task remembers, and the longest word it remembers.
-MEMO_WORDS, MEMO_BYTES = 400_000, 64
+#: A chunk ends when it holds so many tokens, 16 MB of ids, or so many documents.
+CHUNK_TOKENS, CHUNK_ROWS = 1 << 22, 1 << 16
+#: Runs that a worker remembers in each of two generations (some 60 MB in all), and the longest.
+MEMO_RUNS, MEMO_LETTERS = 150_000, 40
 #: Rows and bytes of text whose new words are encoded together.
 SLICE = 1024, 4 << 20
 
 Piece = tuple[int, int, int]
 
 
+def laid_out(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of ``flat`` (starts, sizes) in the given order, one after the other, and their borders."""
+    each = sizes[order]
+    ends = np.concatenate(([0], np.cumsum(each)))
+    place = np.repeat(starts[order] - ends[:-1], each) + np.arange(ends[-1])
+    return flat[place], ends
+
+
 class WordIds:
-    """Ids of texts as little-endian unsigned 32-bit bytes.
+    """Ids of texts as unsigned 32-bit integers.
 
     The tokenizer drops white space before it splits, and nothing it does looks across white space, so a
     text's ids are its words' ids one after the other. It lower-cases words and splits them into runs of
-    letters, single digits and runs of the rest; for words of plain Latin letters and ASCII that is done
-    here, so that what is looked up is the runs. Every other word goes to the library as it is.
+    letters, single digits and runs of the rest; for words of plain Latin letters and ASCII that is done here.
+    Arrow splits and numbers the distinct words and runs, so Python sees each distinct run of a slice once; what
+    it does not remember is encoded by the library. Every other word goes to the library as it is.
     """
 
-    #: Words for which lower() and the pattern below do what the library does.
-    PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+    #: Words for which lower-casing and the pattern below do what the library does.
+    PLAIN = "^[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
     #: Fixed value: how this vocabulary splits lower-case words.
-    RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+    RUNS = "('s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+)"
+    #: Fixed value: what the last token of a run ends in.
+    SUFFIX = "</w>"
+    #: Runs and words that the library gets at once.
+    TOGETHER = 128
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.words = Memo(MEMO_WORDS, self.word)
-        self.runs = Memo(MEMO_WORDS, lambda run: self.library([run])[0])
-
-    def library(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
-
-    def split(self, word: str) -> list[str] | None:
-        return self.RUNS.findall(word.lower()) if self.PLAIN.fullmatch(word) and "<|" not in word else None
-
-    def word(self, word: bytes) -> bytes:
-        runs = self.split(word.decode())
-        return self.library([word.decode()])[0] if runs is None else b"".join(map(self.runs.__getitem__, runs))
-
-    def of(self, texts: list[str]) -> Iterator[bytes]:
-        """All texts' ids; what is new in them is encoded together."""
-        split = [t.encode("utf-8", "replace").split() for t in texts]
-        new = self.words.unknown({w for words in split for w in words})
-        found = [(w, self.split(w.decode())) for w in new]
-        runs = self.runs.unknown({r for _, parts in found for r in parts or ()})
-        now = dict(zip(runs, self.library(runs), strict=True))
-        for r, ids in now.items():
-            self.runs.put(r, ids)
-        odd = [w for w, parts in found if parts is None]
-        once = dict(zip(odd, self.library([w.decode() for w in odd]), strict=True))
-        for w, parts in found:
-            ids = once[w] if parts is None else b"".join([now.get(r) or self.runs[r] for r in parts])
-            if len(w) <= MEMO_BYTES:
-                self.words.put(w, ids)
+        self.tokenizer, self.memo = Tokenizer.from_file(tokenizer_path), Memo(MEMO_RUNS)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(self.SUFFIX)]] = True
+
+    def library(self, parts: list[str]) -> Iterator[bytes]:
+        for k in range(0, len(parts), self.TOGETHER):
+            for e in self.tokenizer.encode_batch_fast(parts[k : k + self.TOGETHER], add_special_tokens=False):
+                yield np.array(e.ids, "<u4").tobytes()
+
+    def together(self, runs: list[str]) -> Iterator[bytes]:
+        """Ids of runs, which are encoded as one text, with spaces between: each ends at a token that ends a run."""
+        for k in range(0, len(runs), self.TOGETHER):
+            part = runs[k : k + self.TOGETHER]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+            if len(ends) == len(part):
+                raw, at = ids.tobytes(), 0
+                for end in ends.tolist():
+                    yield raw[at:end]
+                    at = end
             else:
-                once[w] = ids
-        for words in split:
-            yield b"".join([once.get(w) or self.words[w] for w in words] if once else map(self.words.__getitem__, words))
-
-
-@lru_cache(1)
-def word_ids(tokenizer_path: str) -> WordIds:
-    """One for each Python worker; its memo serves all tasks that the worker runs."""
-    return WordIds(tokenizer_path)
+                yield from self.library(part)
+
+    def learn(self, runs: list[str]) -> list[bytes]:
+        """Ids of distinct runs."""
+        out = list(map(self.memo.known, runs))
+        new = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(new, self.together([runs[k] for k in new]), strict=True):
+            out[k] = ids
+            if len(runs[k]) <= MEMO_LETTERS:
+                self.memo.put(runs[k], ids)
+        return out
+
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words, and where each word's begin and how many they are."""
+        plain = pc.and_(pc.match_substring_regex(words, self.PLAIN), pc.invert(pc.match_substring(words, "<|")))
+        split = pc.ascii_split_whitespace(pc.ascii_rtrim_whitespace(pc.replace_substring_regex(pc.utf8_lower(words.filter(plain)), self.RUNS, "\\1 ")))
+        runs = split.flatten().dictionary_encode()
+        own = self.learn(runs.dictionary.to_pylist())
+        sizes = np.fromiter((len(x) // 4 for x in own), np.int64, len(own))
+        ids, ends = laid_out(np.frombuffer(b"".join(own), "<u4"), np.cumsum(sizes) - sizes, sizes, runs.indices.to_numpy())
+        borders = ends[split.offsets.to_numpy() - (split.offsets[0].as_py() if len(split) else 0)]
+        odd = list(self.library(words.filter(pc.invert(plain)).to_pylist()))
+        length = np.empty(len(words), np.int64)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        length[is_plain], length[~is_plain] = np.diff(borders), [len(x) // 4 for x in odd]
+        start = np.empty(len(words), np.int64)
+        start[is_plain], start[~is_plain] = borders[:-1], len(ids) + np.cumsum(length[~is_plain]) - length[~is_plain]
+        return np.concatenate((ids, np.frombuffer(b"".join(odd), "<u4"))), start, length
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, one after the other, and where each text begins among them and where the last ends."""
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        ids, ends = laid_out(*self.of_words(words.dictionary), words.indices.to_numpy())
+        return ids, ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
 
 
 class Pool:
     """Remainders of one tier by length."""
 
     def __init__(self) -> None:
-        self.items: list[tuple[int, int, int]] = []  # length, document, start
+        self.mask, self.items = 0, {}  # bit n: something of length n is there
 
     def add(self, length: int, doc: int, start: int) -> None:
-        insort(self.items, (length, doc, start))
+        self.items.setdefault(length, []).append((doc, start))
+        self.mask |= 1 << length
+
+    def take(self, length: int) -> tuple[int, int, int]:
+        items = self.items[length]
+        doc, start = items.pop()
+        if not items:
+            self.mask ^= 1 << length
+        return length, doc, start
 
     def at_most(self, length: int) -> tuple[int, int, int] | None:
-        k = bisect_right(self.items, (length, 1 << 62, 0))
-        return self.items.pop(k - 1) if k else None
+        mask = self.mask & ((2 << length) - 1)
+        return self.take(mask.bit_length() - 1) if mask else None
 
     def longest(self) -> tuple[int, int, int]:
-        return self.items.pop()
+        return self.take(self.mask.bit_length() - 1)
 
 
 def plan(lengths: list[int], context: int = CONTEXT, tiers: tuple[int, ...] = TIERS) -> list[list[Piece]]:
@@ -133,7 +171,7 @@ def plan(lengths: list[int], context: int = CONTEXT, tiers: tuple[int, ...] = TI
     rest: list[list[Piece]] = []
     for k in range(len(sizes) - 1, -1, -1):
         size, own = sizes[k], pools[sizes[k]]
-        while own.items:
+        while own.mask:
             length, doc, start = own.longest()
             window, gap = [(doc, start, length)], size - length
             while gap:
@@ -143,7 +181,7 @@ def plan(lengths: list[int], context: int = CONTEXT, tiers: tuple[int, ...] = TI
                     window.append((doc, start, length))
                     gap -= length
                     continue
-                donor = next((pools[s] for s in sizes[: k + 1] if pools[s].items), None)
+                donor = next((pools[s] for s in sizes[: k + 1] if pools[s].mask), None)
                 if donor is None:
                     break
                 length, doc, start = donor.longest()
@@ -201,10 +239,12 @@ def pack(docs: DataFrame, tokenizer_path: str, context: int = CONTEXT, tiers: tu
     """
     ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, padded_length long, tier long, step_group long" + ", ids binary" * with_ids
     schema = struct(ddl)
+    key = ("packing", tokenizer_path)
     arrow, end, step_tokens = to_arrow_schema(schema), eos.to_bytes(4, "little"), steps_of * context
 
     def run(batches):
-        words = word_ids(tokenizer_path)
+        freed(key)
+        words = kept_by_worker(key, lambda: WordIds(tokenizer_path))
         task = TaskContext.get().partitionId() << 36
         sequences = steps = held = 0
         ids: list[int | None] = []
@@ -231,11 +271,13 @@ def pack(docs: DataFrame, tokenizer_path: str, context: int = CONTEXT, tiers: tu
 
         for batch in batches:
             for part in slices(batch, *SLICE):
-                for doc, found in zip(part.column(0).to_pylist(), words.of(part.column(1).to_pylist()), strict=True):
+                found, bounds = words.of(part.column(1))
+                raw, bounds = memoryview(found.tobytes()), (4 * bounds).tolist()
+                for doc, at, to in zip(part.column(0).to_pylist(), bounds, bounds[1:]):
                     ids.append(doc)
-                    tokens.append(found + end)
+                    tokens.append(bytes(raw[at:to]) + end)
                     held += len(tokens[-1]) // 4
-                    if held >= chunk_tokens:
+                    if held >= chunk_tokens or len(ids) >= CHUNK_ROWS:
                         yield from emit()
                         ids, tokens, held = [], [], 0
         yield from emit()

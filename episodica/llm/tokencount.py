@@ -13,14 +13,13 @@ import json
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Memo, map_slices, pick, text_or_empty
+from .common import Memo, kept_by_worker, map_slices, pick, text_or_empty
 
 #: Fixed value: the pattern by which this family of byte-level vocabularies splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -290,12 +289,6 @@ class PrefixCounter:
         return sum(map(len, pieces[:k])) + max(i for i, c in enumerate(tail) if sums[k] + c <= limit)
 
 
-@lru_cache(1)
-def prefix_counter(tokenizer_path: str) -> PrefixCounter:
-    """One for each Python worker; its memo serves all tasks that the worker runs."""
-    return PrefixCounter(tokenizer_path)
-
-
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, with_prefixes: bool = False) -> DataFrame:
     """Tokens of every whole text and the longest prefix within ``limit`` tokens (``fit_chars``).
 
@@ -306,8 +299,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, with_
     library by default. A null doc_id is kept; repeated rows give repeated rows; an empty table gives none.
     """
 
+    key = ("tokencount", tokenizer_path)
+
     def make():
-        counter = prefix_counter(tokenizer_path)
+        counter = kept_by_worker(key, lambda: PrefixCounter(tokenizer_path))
 
         def f(batch):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -327,4 +322,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, with_
         return f
 
     rows = pick(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"))
-    return map_slices(rows, make, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long" + ", prefix_counts binary" * with_prefixes)
+    return map_slices(rows, make, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long" + ", prefix_counts binary" * with_prefixes, keeps=key)

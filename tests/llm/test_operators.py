@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from oracle import DATA
 from pyspark.sql import functions as F
@@ -282,6 +283,17 @@ def test_packing(spark, docs):
     assert set(cover) == set(ids) and max(lengths) <= 4096 and all(n & (n - 1) == 0 for n in lengths)
 
 
+def test_word_ids():
+    """Ids of odd texts, as the library gives them for the whole text."""
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(11)
+    library, words = Tokenizer.from_file(path), packing.WordIds(path)
+    parts = [*" \n\t\r\x0b\x0c\x1c'sStTrReEvVlLmMdD09aZé×÷ßÿÀµİſK!<>|_-~\xa0\u0301\u2003\u3000語²½", "'re", "'LL", "<|endoftext|>", "<|", "|>", "e\u0301", "\r\n", " the", "</w>", "x" * 50, "語" * 30]
+    for _ in range(300):
+        texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(10)]
+        ids, bounds = words.of(pa.array(["shift me", *texts])[1:])
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_plan():
     rng = random.Random(2)
     for _ in range(50):
