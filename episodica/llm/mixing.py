@@ -14,6 +14,7 @@ any size is spread over many tasks; only ids and counts are shuffled.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,36 +76,54 @@ def default_domain() -> Column:
 
 
 def order_of(epoch: Column, seed: int) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(seed), epoch, F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    """The seeded order of an epoch, by doc_id; rows without one are told apart by their number."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.col("row").cast("string")))
+    return F.md5(F.concat_ws(":", F.lit(seed), epoch, name).cast("binary"))
 
 
-def select_mix(docs: DataFrame, budget_share: float = 0.6, weights: Mapping[str, float] | None = None, max_epochs: int = 2, seed: int = SEED, budget_tokens: int | None = None, domain: Column | None = None) -> DataFrame:
-    """The documents of the mix: doc_id, domain, lang, source, n_tokens, epoch (from 0),
+def places(d: DataFrame, order: Column) -> DataFrame:
+    """Adds ``start``: the tokens of the rows before, in the leaf's order. Rows are summed up in buckets of the order,
+    and the buckets' sums in theirs, so that no leaf is one task's."""
+    d = d.withColumn("sort", order).withColumn("bucket", F.substring("sort", 1, BUCKET_DIGITS))
+    by_bucket = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = d.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("bucket_tokens"))
+    buckets = buckets.select(*LEVELS, "bucket", F.coalesce(F.sum("bucket_tokens").over(by_bucket), F.lit(0)).alias("before"))
+    inside = Window.partitionBy(*LEVELS, "bucket").orderBy("sort", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.join(buckets, [*LEVELS, "bucket"])
+    return d.withColumn("start", F.col("before") + F.sum("n_tokens").over(inside) - F.col("n_tokens")).drop("sort", "bucket", "before")
+
+
+def select_mix(docs: DataFrame, budget_share: float = 0.6, weights: Mapping[str, float] | None = None, max_epochs: int = 2, seed: int = SEED, budget_tokens: int | None = None, domain: Column | None = None, row: str | None = None) -> DataFrame:
+    """The documents of the mix: doc_id, row, domain, lang, source, n_tokens, epoch (from 0), position,
     take_tokens, leaf_budget.
 
-    A document is in the mix once for each whole epoch of its leaf, and once more if it begins in the prefix
-    of the last. ``take_tokens`` are its tokens that count: all but for the document in which the prefix ends,
-    so that they add up to the leaf's budget.
+    A leaf reads its documents epoch after epoch, each in an order of its own by the seed, the epoch and the doc_id,
+    until its budget is spent. ``position``: the tokens of the leaf before the document, over all its epochs.
+    ``take_tokens`` are its tokens that count: all but for the document in which the budget ends, so that they add
+    up to it. ``row``: what names a row (a column of ``docs``, unique, else a number is given); the order of rows
+    that share a doc_id goes by it.
 
-    Null languages and sources are the empty one. Null and empty texts have no tokens; they come with any
-    epoch that reaches them. Repeated rows count each. An empty table gives no rows. Weights of 0 give nothing.
+    Null languages and sources are the empty one. Null and empty texts have no tokens; they come with any epoch
+    that reaches them. Very long texts are counted whole, and cut only by the budget. Repeated rows count each. A
+    null doc_id is kept; such rows are ordered by their number. An empty table gives no rows. Weights of 0 give
+    nothing. Other columns, also of clashing names, are not read.
     """
     weights = weights or {}
-    d = with_leaf(pick(docs, "doc_id", "text", "lang", "source"), domain if domain is not None else default_domain())
-    d = d.select("doc_id", "domain", F.col("leaf_lang").alias("lang"), F.col("leaf_source").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"))
+    names = ("doc_id", "text", "lang", "source")
+    d = pick(docs, *names, row).withColumnRenamed(row, "row") if row else pick(docs, *names).withColumn("row", F.monotonically_increasing_id())
+    d = with_leaf(d, domain if domain is not None else default_domain())
+    d = d.select("doc_id", "row", "domain", F.col("leaf_lang").alias("lang"), F.col("leaf_source").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"))
     d = written(d, "mix-counts")  # texts are read once; what follows needs ids and counts alone
     leaves = d.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     budgets = leaf_budgets(leaves, budget_share, weights, max_epochs, budget_tokens)
+    # Leaves: as many as there are domains, languages and sources together.
     budgets = budgets.withColumn("whole", F.when(F.col("tokens") > 0, F.least(F.lit(max_epochs), F.floor(F.col("budget") / F.col("tokens")))).otherwise(F.lit(0)).cast("int"))
-    budgets = budgets.withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens")).select(*LEVELS, "whole", "rest", F.col("budget").alias("leaf_budget"))
-    d = d.join(budgets, list(LEVELS)).withColumn("sort", order_of(F.col("whole"), seed)).withColumn("bucket", F.substring("sort", 1, BUCKET_DIGITS))
-    buckets = d.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("bucket_tokens"))
-    by_bucket = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.select(*LEVELS, "bucket", F.coalesce(F.sum("bucket_tokens").over(by_bucket), F.lit(0)).alias("before"))
-    inside = Window.partitionBy(*LEVELS, "bucket").orderBy("sort", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.join(buckets, [*LEVELS, "bucket"]).withColumn("end", F.col("before") + F.sum("n_tokens").over(inside))
-    d = d.withColumn("start", F.col("end") - F.col("n_tokens")).withColumn("last", (F.col("whole") < max_epochs) & (F.col("start") < F.col("rest")))
-    d = d.withColumn("times", F.col("whole") + F.col("last").cast("int")).where("times > 0")
-    d = d.select("*", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("epoch"))
-    take = F.when(F.col("epoch") < F.col("whole"), F.col("n_tokens")).otherwise(F.least(F.col("n_tokens"), F.col("rest") - F.col("start")))
-    return d.select("doc_id", *LEVELS, "n_tokens", "epoch", take.alias("take_tokens"), "leaf_budget")
+    budgets = written(budgets.withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens")).select(*LEVELS, "whole", "rest", F.col("tokens").alias("leaf_tokens"), F.col("budget").alias("leaf_budget")), "mix-budgets")
+    d = d.join(budgets, list(LEVELS))
+    parts = []
+    for epoch in range(max_epochs):  # in the order of this epoch, if the leaf comes so far
+        here = places(d.where(F.col("whole") + (F.col("rest") > 0).cast("int") > epoch), order_of(F.lit(epoch), seed))
+        left = F.when(F.col("whole") > epoch, F.col("leaf_tokens")).otherwise(F.col("rest"))
+        here = here.where((F.col("whole") > epoch) | (F.col("start") < left))
+        parts.append(here.select("doc_id", "row", *LEVELS, "n_tokens", F.lit(epoch).alias("epoch"), (F.col("leaf_tokens") * epoch + F.col("start")).alias("position"), F.least(F.col("n_tokens"), left - F.col("start")).alias("take_tokens"), "leaf_budget"))
+    return reduce(DataFrame.union, parts)

@@ -241,6 +241,43 @@ def test_mix_budgets(spark):
     assert got == {k: int(v + 1e-6) for k, v in want.items()}
 
 
+def test_mix_query(spark):
+    """The query's rows, each leaf read document by document in the order of its epochs' digests."""
+    rows = {r["doc_id"]: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    tokens = {i: len(re.findall("[^\x20\x09-\x0d]+", r["text"] or "")) for i, r in rows.items()}
+    path = {i: (f"domain{zlib.crc32((r['source'] or '').encode()) % 4}", r["lang"] or "", r["source"] or "") for i, r in rows.items()}
+    supply = Counter()
+    for i, p in path.items():
+        for k in range(4):
+            supply[p[:k]] += 2 * tokens[i]
+    budget, weights = {(): float(int(sum(tokens.values()) * 0.6))}, {"en": 3.0, "domain1": 0.5, "src0": 2.0}
+    for k in range(3):
+        for parent in [p for p in supply if len(p) == k]:
+            budget |= fill(budget[parent], {p: (supply[p], weights.get("/".join(p), weights.get(p[-1], 1.0))) for p in supply if p[:-1] == parent and len(p) == k + 1})
+    want = set()
+    for p in set(path.values()):
+        spent, most = 0, int(budget[p] + 1e-6)
+        for epoch in range(2):
+            for i in sorted((i for i in rows if path[i] == p), key=lambda i, e=epoch: hashlib.md5(f"20240:{e}:{i}".encode()).hexdigest()):
+                if spent < most:
+                    want.add((i, epoch, spent, min(tokens[i], most - spent), most))
+                    spent += tokens[i]
+    got = collected(spark, "op6_mixing")
+    assert {(r["doc_id"], r["epoch"], r["position"], r["take_tokens"], r["leaf_budget"]) for r in got} == want and len(got) == len(want)
+    assert all(r["n_tokens"] == tokens[r["doc_id"]] and (r["domain"], r["lang"], r["source"]) == path[r["doc_id"]] for r in got)
+
+
+def test_mix_without_ids(spark):
+    """Rows without doc_id, and rows that share one, count each: budgets are spent exactly, in whole epochs and in part."""
+    d = spark.createDataFrame([(None if k % 2 else k % 4, "w " * (k % 7), "en", "s0", 0) for k in range(200)], SCHEMA)
+    rows = mixing.select_mix(d, 1.5, max_epochs=2).collect()
+    total = sum(k % 7 for k in range(200))
+    assert sum(r["take_tokens"] for r in rows) == rows[0]["leaf_budget"] == int(total * 1.5)
+    assert max(Counter((r["row"], r["epoch"]) for r in rows).values()) == 1 and sum(r["epoch"] == 0 for r in rows) == 200
+    at = sorted((r["position"], r["n_tokens"]) for r in rows)
+    assert all(a + n == b for (a, n), (b, _) in zip(at, at[1:]))
+
+
 def test_shards(spark, docs):
     rows = collected(spark, "op7_sharding")
     assert Counter(r["doc_id"] for r in rows) == Counter(docs.keys())

@@ -46,19 +46,46 @@ def test_run(spark):
 
 def test_dedup_of_repeated_ids(spark):
     rng = random.Random(3)
-    a, b, c, d, x, y, z = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(7))
+    a, b, c, d, e, x, y, z = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(8))
     near = lambda t: t + " tail"
-    rows = [(3, a), (7, a), (7, b), (1, x), (2, near(x)), (2, y), (9, c), (9, c), (8, near(c)), (5, d), (5, near(d)), (6, z), (6, ""), (None, a), (None, a)]
+    rows = [(3, a), (7, a), (7, b), (1, x), (2, near(x)), (2, y), (9, c), (9, c), (8, near(c)), (5, d), (5, near(d)), (6, z), (6, ""), (None, a), (None, a), (None, e), (None, e), (None, None), (None, None)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], schema)
-    unique = sorted({r for r in rows if r[0] is not None}, key=lambda r: (r[0], hashlib.sha256(r[1].encode()).hexdigest()))
-    found, _ = brute_components({k: t for k, (_, t) in enumerate(unique)}, 5)
-    want = sorted([unique[k] for k in set(found.values())] + [(-1, a)] * 2)
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in rows], schema)
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).hexdigest()))
+    found, _ = brute_components({k: t or "" for k, (_, t) in enumerate(ordered)}, 5)
+    want = sorted((-1 if i is None else i, t or "") for i, t in (ordered[k] for k in set(found.values())))
     for parts in (1, 7):
         out = pipeline.dedup(spark, docs.repartition(parts), DATA)
         assert tuple(out.columns) == DOCUMENT_COLUMNS
-        assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in out.collect()) == want
-    assert {(3, a), (7, b), (1, x), (2, y), (8, near(c)), (6, z), (6, "")} <= set(want) and len(want) == 10
+        assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"] or "") for r in out.collect()) == want
+    assert {(3, a), (7, b), (1, x), (2, y), (8, near(c)), (6, z), (6, ""), (-1, e), (-1, "")} <= set(want) and len(want) == 11
+
+
+def test_mix_of_rows_without_ids(spark):
+    """The budget holds where rows have no doc_id or share one; equal rows are decided one by one."""
+    rows = [(None, "w " * 15) for _ in range(40)] + [(5, "w " * 15)] * 10 + [(k, "x " * 15) for k in range(100, 110)]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = pipeline.mix(spark, docs, DATA)
+    assert tuple(out.columns) == DOCUMENT_COLUMNS and out.count() == 48
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls in all columns, empty and blank texts, repeated rows and columns of clashing names; then no rows at all."""
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(90))
+    a, long = text(), " ".join(f"v{rng.randrange(10**6)}" for _ in range(60_000))
+    rows = [(1, a, "en", "src0", 1), (1, a, "en", "src0", 1), (None, a, None, None, None), (None, None, None, None, None), (2, "", "en", None, 0), (3, " \n", None, "src1", 2), (4, long, "en", "src0", 9), (5, text(), None, None, None), (None, text(), "fr", "src0", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as row", "2 as TEXT", "3 as component_id", "4 as kept", "5 as n_tokens")
+    sizes = []
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, DATA).cache()
+        assert tuple(docs.columns) == DOCUMENT_COLUMNS, name
+        sizes.append(docs.count())
+    assert sizes[:3] == [6, 6, 4]
+    packs = pipeline.STAGES[-1][1](spark, docs, DATA).collect()
+    assert sum(r["start"] == 0 for r in packs) == sizes[3]
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").limit(0), DATA).count() == 0, name
 
 
 WORD = "[^\x20\x09-\x0d]+"
