@@ -30,34 +30,36 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return accepted_languages(docs)
 
 
-def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component stays, that of the smallest doc_id. Rows with different texts are different
-    rows, also if they share a doc_id. What has no doc_id stays."""
+def by_rows(docs: DataFrame, label: str) -> tuple[DataFrame, bool]:
+    """documents with ``row``, which names a row: its doc_id where each row has one of its own (then true), else a
+    number of the row in a written table, so that rows without doc_id and rows that share one are told apart."""
     docs = pick(docs, *DOCUMENT_COLUMNS)
-    known = docs.where("doc_id is not null")
-    if known.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = first_rows(known)
-    else:
-        kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-        out = docs.join(kept, "doc_id", "left_semi")
-    return out.union(docs.where("doc_id is null"))
+    odd = docs.groupBy("doc_id").count().where("doc_id is null or count > 1")
+    if odd.limit(1).count():
+        return written(docs.withColumn("row", F.monotonically_increasing_id()), label), False
+    return docs.withColumn("row", F.col("doc_id")), True
 
 
-def first_rows(docs: DataFrame) -> DataFrame:
-    """The first row of each component by doc_id and digest of its text, whatever order tasks run in."""
-    row = F.min(F.struct("lang", "source", "n_chars", "text")).alias("row")
-    rows = docs.groupBy("doc_id", F.sha2("text", 256).alias("digest")).agg(row)
-    rows = written(rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "digest", "row.*"), "pipeline-rows")
-    found = near_duplicates(rows.select(F.col("row_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_id"), "component_id")
-    first = rows.select("row_id", "doc_id", "digest").join(found, "row_id").groupBy("component_id").agg(F.min(F.struct("doc_id", "digest", "row_id")).alias("x"))
-    return rows.join(first.select("x.row_id"), "row_id", "left_semi").select(*DOCUMENT_COLUMNS)
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component of texts stays, whatever the order of tasks: the first by doc_id (none comes last),
+    then by digest of its text and by its other columns. Texts without words are linked with nothing, so all rows
+    with such stay. Shingles are of five words, and a link is a similarity of 0.8 or more."""
+    docs, own = by_rows(docs, "pipeline-rows")
+    found = near_duplicates(docs.select(F.col("row").alias("doc_id"), "text"))
+    if own:  # a component is named by its smallest doc_id
+        kept = found.where("kept").select(F.col("doc_id").alias("row"))
+    else:
+        order = F.struct(F.col("doc_id").isNull(), "doc_id", F.sha2("text", 256), "lang", "source", "n_chars", "row")
+        first = docs.select("row", order.alias("order")).join(found.select(F.col("doc_id").alias("row"), "component_id"), "row")
+        kept = first.groupBy("component_id").agg(F.min("order").alias("first")).select("first.row")
+    return docs.join(kept, "row", "left_semi").select(*DOCUMENT_COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, each once."""
-    docs = pick(docs, *DOCUMENT_COLUMNS)
-    taken = select_mix(docs, MIX_SHARE, MIX_WEIGHTS, max_epochs=1).select(F.col("doc_id").alias("taken")).distinct()
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken")), "left_semi")
+    """Rows that the mix takes, each once."""
+    docs, _ = by_rows(docs, "pipeline-rows")
+    taken = select_mix(docs, MIX_SHARE, MIX_WEIGHTS, max_epochs=1, row="row").select("row").distinct()
+    return docs.join(taken, "row", "left_semi").select(*DOCUMENT_COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
