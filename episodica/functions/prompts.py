@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import parse_action, restore_think
-
-
-def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+from .text import parse_action, restore_think, strip
 
 
 def render(template: str, question: Column) -> Column:
@@ -63,6 +59,33 @@ def canonical(text: Column) -> Column:
     return strip(restore_think(text))
 
 
-def information_message(contents: Column, suffix: Column) -> Column:
-    """The passages of one round, a blank line between them, in one block, and what the environment adds."""
-    return F.concat(F.lit("<information>"), F.array_join(contents, "\n\n"), F.lit("</information>\n"), suffix)
+#: What the first two protocols tell the model.
+TASK = "Answer the question using the search tool when needed. Reason inside <think>...</think>. To search, emit exactly <search>query</search>; after each search you will receive <information>...</information>. Finish with exactly <answer>final answer</answer>.\nQuestion: "
+NOTHING_NEW = "No new information was retrieved. Use the available evidence to answer, or issue a different search query."
+NOTHING_NEW_LAST = "No new information was retrieved. The search budget is exhausted. Use the available evidence and output the required answer tag now."
+USE = "\nUse the evidence above."
+GO_ON = " If the evidence answers the question, stop searching and output the required answer tag."
+LAST = " This is the final allowed search; do not search again. Output the required answer tag now."
+
+
+def question_message(question: Column) -> Column:
+    return F.concat(F.lit(TASK), question)
+
+
+def block(text: Column) -> Column:
+    return F.concat(F.lit("<information>\n"), text, F.lit("\n</information>"))
+
+
+def information_message(contents: Column, last: Column) -> Column:
+    """The passages of one round, a blank line between them, in one block, and what the environment adds to it."""
+    return F.concat(block(F.array_join(contents, "\n\n")), F.lit(USE), F.when(last, LAST).otherwise(GO_ON))
+
+
+def repeat_message(last: Column) -> Column:
+    """The answer to a query that was there before."""
+    return block(F.when(last, NOTHING_NEW_LAST).otherwise(NOTHING_NEW))
+
+
+def appended(events: Column) -> Column:
+    """The trajectory of an array of event texts: each stripped, a blank line between them."""
+    return F.array_join(F.transform(events, strip), "\n\n")

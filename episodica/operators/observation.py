@@ -1,19 +1,18 @@
-"""Observations within a token budget, and traces compiled to masked tokens.
+"""Observations within a token budget.
 
 A tokenizer is anything with ``encode(text) -> list[int]`` and ``decode(ids) -> str``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-OBSERVATION_TOKENS = 768
-SEQUENCE_TOKENS = 8192
-IGNORED = -100
+OBSERVATION_TOKENS, TOP = 768, 3
 
 
 class Tokenizer(Protocol):
@@ -44,44 +43,53 @@ def water_fill(sizes: list[int], room: int) -> list[int]:
     return out
 
 
-def observation(titles: list[str | None], bodies: list[str | None], tokenizer: Tokenizer, budget: int = OBSERVATION_TOKENS) -> tuple[str, int, bool]:
-    """(text, tokens, truncated): all titles, and bodies cut to what the budget leaves; while the whole is too
-    long, the longest body (the first of equals) loses a token."""
-    names = [(t or "").strip() or "Untitled" for t in titles]
-    ids = [tokenizer.encode((b or "").strip()) for b in bodies]
+def fitted(titles: Sequence[str | None], bodies: Sequence[str | None], tokenizer: Tokenizer, budget: int = OBSERVATION_TOKENS, top: int = TOP) -> dict:
+    """text, tokens, truncated and documents of the first ``top`` hits: all titles, and bodies cut to what the budget
+    leaves; while the whole is too long, the longest body (the first of equals) loses a token. ``error`` instead:
+    empty_search_result, observation_headers_exceed_budget or observation_cannot_fit_budget."""
+    names = [(t or "").strip() or "Untitled" for t in titles[:top]]
+    texts = [(b or "").strip() for b in bodies[:top]]
+    ids = [tokenizer.encode(b) for b in texts]
+    nothing = {"text": None, "tokens": None, "truncated": None, "documents": None}
+    if not names:
+        return nothing | {"error": "empty_search_result"}
+    seen = lambda limits: [tokenizer.decode(x[:n]).strip() if n else "" for x, n in zip(ids, limits, strict=True)]
 
     def build(limits):
-        parts = (f"Doc {k + 1}(Title: {t}) {tokenizer.decode(x[:n]).strip()}".rstrip() for k, (t, x, n) in enumerate(zip(names, ids, limits, strict=True)))
+        parts = (f"Doc {k}(Title: {t})" + (f" {b}" if b else "") for k, (t, b) in enumerate(zip(names, seen(limits), strict=True), 1))
         return "\n".join(("<information>", *parts, "</information>"))
 
     size = lambda limits: len(tokenizer.encode(build(limits)))
     sizes = [len(x) for x in ids]
     if (heads := size([0] * len(ids))) > budget:
-        raise ValueError("observation_headers_exceed_budget")
+        return nothing | {"error": "observation_headers_exceed_budget"}
     limits = water_fill(sizes, budget - heads)
-    while (n := size(limits)) > budget and any(limits):
+    while (n := size(limits)) > budget:
+        if not any(limits):
+            return nothing | {"error": "observation_cannot_fit_budget"}
         limits[max(range(len(limits)), key=lambda i: limits[i])] -= 1
-    return build(limits), n, limits != sizes
+    documents = [{"rank": k, "title": t, "original_text": b, "visible_text": v, "original_body_tokens": s, "visible_body_tokens": m, "body_truncated": m < s} for k, (t, b, v, s, m) in enumerate(zip(names, texts, seen(limits), sizes, limits, strict=True), 1)]
+    return {"text": build(limits), "tokens": n, "truncated": limits != sizes, "documents": documents, "error": None}
 
 
-def compile_trace(kinds: list[str], texts: list[str], tokenizer: Tokenizer, limit: int = SEQUENCE_TOKENS) -> tuple[list[int], list[int], str | None]:
-    """(ids, labels, error): generated pieces are learnt, all others are masked."""
-    ids: list[int] = []
-    labels: list[int] = []
-    for kind, text in zip(kinds, texts, strict=True):
-        part = tokenizer.encode(text)
-        ids += part
-        labels += part if kind == "generated" else [IGNORED] * len(part)
-    error = "sequence_overflow" if len(ids) > limit else "empty_supervision" if all(x == IGNORED for x in labels) else None
-    return ids, labels, error
+def observation(titles: Sequence[str | None], bodies: Sequence[str | None], tokenizer: Tokenizer, budget: int = OBSERVATION_TOKENS) -> tuple[str, int, bool]:
+    """(text, tokens, truncated) of all hits; raises where they do not fit."""
+    found = fitted(titles, bodies, tokenizer, budget, len(titles))
+    if found["error"]:
+        raise ValueError(found["error"])
+    return found["text"], found["tokens"], found["truncated"]
 
 
-def observation_column(titles: Column, bodies: Column, budget: int = OBSERVATION_TOKENS, tokenizer: Tokenizer | None = None) -> Column:
-    """struct(text, tokens, truncated), by Arrow batches: the cutting is sequential."""
+DOCUMENT = "struct<rank: int, title: string, original_text: string, visible_text: string, original_body_tokens: int, visible_body_tokens: int, body_truncated: boolean>"
+
+
+def observation_column(titles: Column, bodies: Column, budget: int = OBSERVATION_TOKENS, tokenizer: Tokenizer | None = None, top: int = TOP) -> Column:
+    """struct(text, tokens, truncated, documents, error), by Arrow batches: the cutting is sequential."""
     tok = tokenizer or Characters()
 
-    @F.pandas_udf("struct<text: string, tokens: int, truncated: boolean>")
+    @F.pandas_udf(f"struct<text: string, tokens: int, truncated: boolean, documents: array<{DOCUMENT}>, error: string>")
     def fill(t: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([observation(list(x), list(y), tok, budget) for x, y in zip(t, b, strict=True)], columns=["text", "tokens", "truncated"])
+        found = [fitted(list(x), list(y), tok, budget, top) for x, y in zip(t, b, strict=True)]
+        return pd.DataFrame({c: pd.Series([r[c] for r in found], dtype=object) for c in ("text", "tokens", "truncated", "documents", "error")})
 
     return fill(titles, bodies)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,14 +43,26 @@ def stratified(rows: DataFrame, keys: Sequence[str], id_col: str, total: int, se
     return rows.withColumn("rank", rank).where(F.col("rank") <= total).join(q.select(*keys, "quota"), list(keys)).where("rank <= quota").drop("quota")
 
 
+def value_range(value: Column) -> Column:
+    """A range that a number falls in, in the numbers' order: 256 to each power of two."""
+    v = value.cast("double")
+    return F.floor(F.signum(v) * F.log2(1 + F.abs(v)) * 256)
+
+
 def quantiles(rows: DataFrame, by: Sequence[str], value: str, fractions: Sequence[float]) -> DataFrame:
-    """Nearest-rank quantiles of each group, from counts of the distinct values: a hot group shuffles one row
-    for each of its values."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    upto = Window.partitionBy(*by).orderBy(value)
-    c = counts.withColumn("end", F.sum("n").over(upto.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(Window.partitionBy(*by)))
-    pick = lambda f: F.min(F.when(F.col("end") >= nearest_rank(F.col("all"), f), F.col(value)))
-    return c.groupBy(*by).agg(F.first("all").alias("n"), *(pick(f).alias(f"q{round(100 * f)}") for f in fractions))
+    """Nearest-rank quantiles of each group, from counts of the distinct values. The counts are summed up over ranges
+    of values; values are ranked only inside the ranges that hold a quantile, so no group is one task's."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n")).withColumn("_range", value_range(F.col(value)))
+    upto = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    r = counts.groupBy(*by, "_range").agg(F.sum("_n").alias("_in"))
+    r = r.withColumn("_end", F.sum("_in").over(upto)).withColumn("_all", F.sum("_in").over(Window.partitionBy(*by)))
+    holds = [(nearest_rank(F.col("_all"), f) <= F.col("_end")) & (nearest_rank(F.col("_all"), f) > F.col("_end") - F.col("_in")) for f in fractions]
+    r = r.where(reduce(lambda a, b: a | b, holds)).select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_range").alias("_at"), (F.col("_end") - F.col("_in")).alias("_before"), "_all")
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by), F.col("_range") == F.col("_at"))
+    inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    c = counts.join(r, same).withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
+    pick = lambda f: F.min(F.when(F.col("_upto") >= nearest_rank(F.col("_all"), f), F.col(value)))
+    return c.groupBy(*by).agg(F.first("_all").alias("n"), *(pick(f).alias(f"q{round(100 * f)}") for f in fractions))
 
 
 def best_of_group(rows: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import evidence, prompts, stats, text
 from ..operators import audit, gates, integrity, observation, replay, retrieval, sampling, selection, transfer
 from ..sources.shipping import ship
+from ..sources.tables import cut
+
+#: Pairs of document and item, to be looked at in full, that are sent to all tasks at most.
+MOST_MET = 100_000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -46,7 +50,8 @@ def _norm(c: str) -> str:
 @query(f"SELECT doc_id, {_norm('text')} AS norm, sha256({_norm('text')}) AS question_hash, {_COLLAPSED.format('lower(text)')} AS ws FROM documents")
 def normalize_text(spark, d):
     c = F.col("text")
-    return table(spark, d, "documents").select("doc_id", text.normalize(c).alias("norm"), text.question_hash(c).alias("question_hash"), text.fingerprint(c).alias("ws"))
+    t = table(spark, d, "documents").select("doc_id", text.normalize(c).alias("norm"), text.fingerprint(c).alias("ws"))
+    return t.select("doc_id", "norm", F.sha2(F.col("norm").cast("binary"), 256).alias("question_hash"), "ws")
 
 
 @query(f"SELECT h AS question_hash, min(doc_id) AS doc_id, count(*) AS n FROM (SELECT doc_id, sha256({_norm('text')}) AS h FROM documents) GROUP BY h")
@@ -68,6 +73,9 @@ def leakage_contains(spark, d):
     places = docs.select("doc_id", F.explode(anchors).alias("anchor"))
     items = F.broadcast(items) if items.count() <= 10_000 else items
     met = places.join(items, "anchor").select("doc_id", "item_id", F.concat(F.lit(" "), F.array_join("q", " "), F.lit(" ")).alias("part")).distinct()
+    met = cut(met)
+    if met.count() <= MOST_MET:  # else both sides are shuffled
+        met = F.broadcast(met)
     whole = docs.select("doc_id", F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")).alias("all"))
     return whole.join(met, "doc_id").where(F.col("all").contains(F.col("part"))).select("doc_id", "item_id").distinct()
 
@@ -152,14 +160,24 @@ def _turns(spark, d):
     e = e.withColumn("episode", F.concat_ws("-", "user_id", F.floor(F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))") / 345_600)))
     e = e.withColumn("kind", F.when(~ends, "search").when(F.col("event_type") == "error", "error").otherwise("answer"))
     keys = F.array(k % 10, 100 + k % 7, 200 + k % 5)
-    return e.select("episode", F.row_number().over(Window.partitionBy("episode").orderBy("ts", "event_id")).alias("turn"), "kind", F.when(F.col("kind") == "search", k % 9).alias("query_key"), keys.alias("doc_keys"))
+    return e.select("episode", F.row_number().over(Window.partitionBy("episode").orderBy("ts", "event_id")).alias("turn"), "kind", F.when(F.col("kind") == "search", k % 9).alias("query_key"), keys.alias("doc_keys"), F.when(F.col("kind") == "answer", F.concat(F.lit("The Answer, "), k % 3)).alias("content"))
+
+
+_FACTS = ("episode", "searches", "executed", "repeated", "progressive", "no_progress", "unique_docs", "termination")
+
 
+def _judged(e: DataFrame) -> DataFrame:
+    """With the reasons against it; the gold answer of an episode is by its user."""
+    gold = F.array(F.concat(F.lit("answer "), F.split_part("episode", F.lit("-"), F.lit(1)).cast("long") % 3))
+    e = e.withColumn("correct", text.exact_match(F.col("prediction"), gold))
+    return replay.reasons(e, F.col("correct"))
 
-def _replay_sql(budget: int, repeat_ends: bool) -> str:
+
+def _replay_sql(budget: int, repeat_ends: bool, rounds: int = 5, unfinished: str = "generation_budget") -> str:
     ends = "WHEN seen > 1 AND kind = 'search' THEN 'repeated_search'" if repeat_ends else ""
     return f"""WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE event_type <> 'signup'),
 t AS (SELECT user_id || '-' || CAST(floor(epoch(ts) / 345600) AS BIGINT) AS episode, ts, event_id, k, CASE WHEN event_type IN ('error', 'purchase') AND k < 12 THEN CASE event_type WHEN 'error' THEN 'error' ELSE 'answer' END ELSE 'search' END AS kind FROM e),
-u AS (SELECT *, row_number() OVER (PARTITION BY episode ORDER BY ts, event_id) AS turn FROM t),
+u AS (SELECT *, row_number() OVER (PARTITION BY episode ORDER BY ts, event_id) AS turn FROM t QUALIFY turn <= {rounds}),
 v AS (SELECT *, sum(CASE WHEN kind = 'search' THEN 1 ELSE 0 END) OVER (PARTITION BY episode ORDER BY turn) AS ns, row_number() OVER (PARTITION BY episode, kind, CASE WHEN kind = 'search' THEN k % 9 END ORDER BY turn) AS seen FROM u),
 w AS (SELECT *, CASE WHEN kind = 'error' THEN 'format_error' WHEN kind = 'answer' THEN CASE WHEN ns >= {budget} THEN 'answer_after_search_budget' ELSE 'answer' END {ends} WHEN ns > {budget} THEN 'search_limit' END AS label FROM v),
 x AS (SELECT *, min(CASE WHEN label IS NOT NULL THEN turn END) OVER (PARTITION BY episode) AS cut FROM w),
@@ -167,43 +185,46 @@ y AS (SELECT *, kind = 'search' AND (cut IS NULL OR turn < cut) AS live FROM x),
 dd AS (SELECT episode, min(turn) AS turn, doc FROM (SELECT episode, turn, unnest([k % 10, 100 + k % 7, 200 + k % 5]) AS doc FROM y WHERE live AND seen = 1) GROUP BY episode, doc),
 nn AS (SELECT episode, turn, count(*) AS nd FROM dd GROUP BY ALL),
 z AS (SELECT y.*, coalesce(nd, 0) AS nd FROM y LEFT JOIN nn USING (episode, turn)),
-ep AS (SELECT episode, count(*) FILTER (live) AS searches, count(*) FILTER (live AND seen = 1) AS executed, count(*) FILTER (live AND seen > 1) AS repeated, count(*) FILTER (live AND seen = 1 AND nd > 0) AS progressive, count(*) FILTER (live AND nd = 0) AS no_progress, CAST(sum(nd) AS BIGINT) AS unique_docs, coalesce(max(CASE WHEN turn = cut THEN label END), 'generation_budget') AS termination FROM z GROUP BY episode)"""
+ep AS (SELECT episode, count(*) FILTER (live) AS searches, count(*) FILTER (live AND seen = 1) AS executed, count(*) FILTER (live AND seen > 1) AS repeated, count(*) FILTER (live AND seen = 1 AND nd > 0) AS progressive, count(*) FILTER (live AND nd = 0) AS no_progress, CAST(sum(nd) AS BIGINT) AS unique_docs, coalesce(max(CASE WHEN turn = cut THEN label END), '{unfinished}') AS termination,
+coalesce(max(CASE WHEN turn = cut AND kind = 'answer' THEN k % 3 END) = CAST(split_part(episode, '-', 1) AS BIGINT) % 3, false) AS correct FROM z GROUP BY episode)"""
 
 
-_REASONS = """, rr AS (SELECT *, list_sort(list_filter([CASE WHEN termination NOT IN ('answer', 'answer_after_search_budget') THEN termination END, CASE WHEN repeated > 0 THEN 'repeated_search_query' END, CASE WHEN no_progress > repeated THEN 'no_new_documents' END, CASE WHEN executed = 0 THEN 'no_search' END], lambda x: x IS NOT NULL)) AS reasons FROM ep)"""
+_REASONS = """, rr AS (SELECT *, list_sort(list_distinct(list_filter([CASE WHEN NOT starts_with(termination, 'answer') THEN 'missing_answer' WHEN NOT correct THEN 'wrong_answer' END, CASE WHEN termination = 'format_error' THEN 'format_error' END, CASE WHEN searches = 0 THEN 'closed_book_answer' END,
+CASE WHEN repeated > 0 THEN 'repeated_search_query' END, CASE WHEN no_progress > 0 THEN 'no_progress_search' END, CASE WHEN NOT starts_with(termination, 'answer') THEN 'terminal:' || termination END], lambda x: x IS NOT NULL))) AS reasons FROM ep)"""
+_EP = " SELECT " + ", ".join(_FACTS) + " FROM ep"
 
 
-@query(_replay_sql(4, False) + " SELECT * FROM ep")
+@query(_replay_sql(4, False) + _EP)
 def episode_replay(spark, d):
-    return replay.replay(_turns(spark, d))
+    return replay.replay(_turns(spark, d), **replay.V3).select(*_FACTS)
 
 
-@query(_replay_sql(8, True) + " SELECT * FROM ep")
+@query(_replay_sql(8, True, 8, "max_rounds") + _EP)
 def episode_replay_v0(spark, d):
-    return replay.replay(_turns(spark, d), 8, repeat_ends=True)
+    return replay.replay(_turns(spark, d), **replay.V0).select(*_FACTS)
 
 
 @query(_replay_sql(4, False) + _REASONS + " SELECT episode, array_to_string(reasons, ',') AS reasons, len(reasons) = 0 AS eligible FROM rr")
 def strict_reasons(spark, d):
-    return replay.reasons(replay.replay(_turns(spark, d))).select("episode", F.array_join("reasons", ",").alias("reasons"), "eligible")
+    return _judged(replay.replay(_turns(spark, d), **replay.V3)).select("episode", F.array_join("reasons", ",").alias("reasons"), "eligible")
 
 
 @query(_replay_sql(4, False) + _REASONS + " SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM rr) GROUP BY reason")
 def multi_label_histogram(spark, d):
-    return replay.reasons(replay.replay(_turns(spark, d))).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    return _judged(replay.replay(_turns(spark, d), **replay.V3)).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query(_replay_sql(4, False) + " SELECT termination, CASE searches WHEN 0 THEN 'zero' WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE 'three_plus' END AS bucket, count(*) AS n, round(avg(executed), 9) AS mean_executed FROM ep GROUP BY ALL")
 def termination_counts(spark, d):
-    e = replay.replay(_turns(spark, d))
+    e = replay.replay(_turns(spark, d), **replay.V3)
     return e.groupBy("termination", text.search_bucket(F.col("searches")).alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg("executed"), 9).alias("mean_executed"))
 
 
 @query(f"""SELECT count(*) AS n, round(avg(a.searches - b.searches), 9) AS d_searches, round(avg(CASE WHEN b.termination = 'repeated_search' THEN a.executed - b.executed END), 9) AS d_executed_affected
-FROM ({_replay_sql(4, False)} SELECT * FROM ep) a JOIN ({_replay_sql(8, True)} SELECT * FROM ep) b USING (episode)""")
+FROM ({_replay_sql(4, False)} SELECT * FROM ep) a JOIN ({_replay_sql(8, True, 8, 'max_rounds')} SELECT * FROM ep) b USING (episode)""")
 def paired_delta(spark, d):
     t = _turns(spark, d)
-    a, b = replay.replay(t).alias("a"), replay.replay(t, 8, repeat_ends=True).alias("b")
+    a, b = replay.replay(t, **replay.V3).alias("a"), replay.replay(t, **replay.V0).alias("b")
     j = a.join(b, "episode")
     return j.agg(F.count("*").alias("n"), F.round(F.avg(F.col("a.searches") - F.col("b.searches")), 9).alias("d_searches"), F.round(F.avg(F.when(F.col("b.termination") == "repeated_search", F.col("a.executed") - F.col("b.executed"))), 9).alias("d_executed_affected"))
 
@@ -272,20 +293,28 @@ def parse_actions(spark, d):
     return t.select("conv_id", "turn", "p.kind", "p.error")
 
 
-@query("""WITH e AS (SELECT conv_id AS episode, turn AS idx, CASE role WHEN 'user' THEN 'search' WHEN 'assistant' THEN 'observation' ELSE 'answer' END AS kind FROM conversations),
-o AS (SELECT *, lag(kind) OVER w AS b, lead(kind) OVER w AS a FROM e WINDOW w AS (PARTITION BY episode ORDER BY idx)),
-c AS (SELECT *, CASE WHEN kind = 'observation' AND coalesce(b, '') <> 'search' THEN 'observation_without_search' WHEN kind = 'search' AND coalesce(a, '') <> 'observation' THEN 'search_without_observation' WHEN kind = 'answer' AND a IS NOT NULL THEN 'answer_not_last' END AS code FROM o)
+@query("""WITH e AS (SELECT conv_id AS episode, turn AS idx, CASE WHEN role = 'assistant' THEN 'observation' WHEN role = 'user' AND turn % 6 < 4 THEN 'search' WHEN role = 'user' THEN 'answer' ELSE role END AS kind FROM conversations),
+o AS (SELECT *, lag(kind) OVER w AS b, lead(kind) OVER w AS a, coalesce(bool_or(kind = 'answer') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS done FROM e WINDOW w AS (PARTITION BY episode ORDER BY idx)),
+c AS (SELECT *, CASE WHEN kind IN ('search', 'answer') AND (coalesce(b, '') = 'search' OR done) THEN 'candidate_event_order_error' WHEN kind = 'answer' AND a IS NOT NULL THEN 'candidate_answer_not_final' WHEN kind = 'observation' AND (coalesce(b, '') <> 'search' OR done) THEN 'candidate_observation_order_error'
+WHEN kind NOT IN ('search', 'answer', 'observation') THEN 'candidate_unknown_event_kind' WHEN a IS NULL AND kind <> 'answer' THEN 'candidate_incomplete_trajectory' END AS code FROM o)
 SELECT episode, min_by(code, idx) FILTER (code IS NOT NULL) AS code FROM c GROUP BY episode""")
 def event_order_validate(spark, d):
     role = F.col("role")
-    e = table(spark, d, "conversations").select(F.col("conv_id").alias("episode"), F.col("turn").alias("idx"), F.when(role == "user", "search").when(role == "assistant", "observation").otherwise("answer").alias("kind"))
+    kind = F.when(role == "assistant", "observation").when((role == "user") & (F.col("turn") % 6 < 4), "search").when(role == "user", "answer").otherwise(role)
+    e = table(spark, d, "conversations").select(F.col("conv_id").alias("episode"), F.col("turn").alias("idx"), kind.alias("kind"))
     return replay.order_errors(e)
 
 
-@query("SELECT doc_id, CASE WHEN first_line <> '' AND length(first_line) <= 300 AND contains(text, chr(10)) THEN first_line ELSE 'Untitled' END AS title FROM (SELECT doc_id, text, trim(regexp_replace(trim(string_split(text, chr(10))[1]), '^\"+|\"+$', '', 'g')) AS first_line FROM documents)")
+_STRIP = "regexp_replace({}, '^[\\s\\x{{1c}}-\\x{{1f}}\\x{{85}}\\p{{Z}}]+|[\\s\\x{{1c}}-\\x{{1f}}\\x{{85}}\\p{{Z}}]+$', '', 'g')"
+_FIRST = f"regexp_replace({_STRIP.format('string_split(text, chr(10))[1]')}, '^\"+|\"+$', '', 'g')"
+
+
+@query(f"""WITH f AS (SELECT doc_id, text, {_FIRST} AS line, strpos(text, chr(10)) AS pos FROM documents WHERE text IS NOT NULL), g AS (SELECT *, line <> '' AND length(line) <= 300 AS lined FROM f)
+SELECT doc_id, CASE WHEN lined THEN line ELSE 'Untitled' END AS title, sha256(CASE WHEN lined AND pos = 0 THEN '' WHEN lined THEN {_STRIP.format('substr(text, pos + 1)')} ELSE {_STRIP.format('text')} END) AS body_sha256 FROM g""")
 def hit_titles(spark, d):
     none = F.lit(None).cast("string")
-    return table(spark, d, "documents").select("doc_id", text.hit_fields(none, none, F.col("text"))["title"].alias("title"))
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", text.hit_fields(none, none, F.col("text")).alias("hit"))
+    return t.select("doc_id", "hit.title", F.sha2(F.col("hit.body").cast("binary"), 256).alias("body_sha256"))
 
 
 @query()
@@ -400,22 +429,21 @@ def shortage_report(spark, d):
 ff AS (SELECT *, list_sort(list_filter([CASE WHEN strict_rate < 0.3 THEN 'strict_rate' END, CASE WHEN multi_rate < 0.5 THEN 'multi_rate' END, CASE WHEN limit_rate > 0.05 THEN 'limit_rate' END], lambda x: x IS NOT NULL)) AS fs FROM tt)
 SELECT n, errors, strict_rate, multi_rate, limit_rate, errors = 0 AS operational, array_to_string(fs, ',') AS failures, len(fs) = 0 AS passed FROM ff""")
 def pilot_gates(spark, d):
-    e = replay.reasons(replay.replay(_turns(spark, d)))
+    e = _judged(replay.replay(_turns(spark, d), **replay.V3))
     rate = lambda c: F.round(F.avg(c.cast("double")), 9)
     t = e.agg(F.count("*").alias("n"), F.count_if(F.col("termination") == "format_error").alias("errors"), rate(F.col("eligible")).alias("strict_rate"), rate(F.col("searches") >= 2).alias("multi_rate"), rate(F.col("termination") == "search_limit").alias("limit_rate"))
     t = gates.quality(t, {"strict_rate": 0.3, "multi_rate": 0.5}, {"limit_rate": 0.05})
     return t.withColumn("operational", gates.operational({"errors": F.col("errors")})).withColumn("failures", F.array_join("failures", ","))
 
 
-@query(_replay_sql(8, False) + _REASONS + """ SELECT episode, searches, termination, len(list_filter(reasons, lambda x: x NOT IN ('repeated_search_query', 'no_new_documents'))) > 0 AS terminal_invalid, len(reasons) = 0 AS strict,
-executed % 2 = 0 AND len(reasons) > 0 AND len(list_filter(reasons, lambda x: x NOT IN ('repeated_search_query', 'no_new_documents'))) = 0 AS recovered FROM rr""")
+@query(_replay_sql(8, False, 9) + """ SELECT episode, searches, termination, NOT starts_with(termination, 'answer') AS terminal_invalid, starts_with(termination, 'answer') AND no_progress = 0 AS strict, starts_with(termination, 'answer') AND no_progress > 0 AND correct AS recovered FROM ep""")
 def episode_replay_v1(spark, d):
     """The second protocol: eight attempts, repeats are answered; whether an episode recovered."""
-    e = replay.recovery(replay.reasons(replay.replay(_turns(spark, d), 8)), F.col("executed") % 2 == 0)
-    return e.select("episode", "searches", "termination", "terminal_invalid", "strict", "recovered")
+    e = _judged(replay.replay(_turns(spark, d), **replay.V1))
+    return replay.recovery(e, F.col("correct")).select("episode", "searches", "termination", "terminal_invalid", "strict", "recovered")
 
 
-_CANDIDATES = _replay_sql(4, False) + _REASONS + """, c AS (SELECT split_part(episode, '-', 1) AS question, CASE WHEN executed % 2 = 0 THEN 'multi' ELSE 'single' END AS source, len(reasons) = 0 AS eligible, executed % 3 = 0 AS correct, termination, reasons, searches, executed, repeated, no_progress, unique_docs,
+_CANDIDATES = _replay_sql(4, False) + _REASONS + """, c AS (SELECT split_part(episode, '-', 1) AS question, CASE WHEN executed % 2 = 0 THEN 'multi' ELSE 'single' END AS source, len(reasons) = 0 AS eligible, correct, termination, reasons, searches, executed, repeated, no_progress, unique_docs,
 CASE WHEN unique_docs >= 6 THEN 'A' WHEN unique_docs >= 3 THEN 'B' ELSE 'C' END AS evidence, unique_docs > 3 AS grounded, 100 * searches + unique_docs AS tokens FROM rr), r AS (SELECT tokens AS v, row_number() OVER (ORDER BY tokens) AS k, count(*) OVER () AS n FROM c) """
 _FUNNEL = {
     "candidate_count": "count(*)",
@@ -448,12 +476,11 @@ _CELLS = {
     + [f"SELECT 'prompt_tokens', 'q{round(100 * f)}', CAST(max(CASE WHEN k = CAST(round_even((n - 1) * {f}, 0) AS BIGINT) + 1 THEN v END) AS DOUBLE) FROM r" for f in audit.LENGTHS]
     + ["SELECT 'prompt_tokens', 'mean', round(avg(tokens), 9) FROM c"]))
 def pilot_audit(spark, d):
-    e = replay.reasons(replay.replay(_turns(spark, d)))
+    e = _judged(replay.replay(_turns(spark, d), **replay.V3))
     docs, executed = F.col("unique_docs"), F.col("executed")
     c = e.withColumns({
         "question": F.split_part("episode", F.lit("-"), F.lit(1)),
         "source": F.when(executed % 2 == 0, "multi").otherwise("single"),
-        "correct": executed % 3 == 0,
         "format_compliant": F.col("termination") != "format_error",
         "evidence": F.when(docs >= 6, "A").when(docs >= 3, "B").otherwise("C"),
         "grounded": docs > 3,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,8 +19,12 @@ def lenient(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
 
 
 def strict(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
-    """A bad line is fatal."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """A bad line is fatal, and the error names its file and text. Blank lines are skipped."""
+    s = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file"))
+    r = lines.select("file", "value", F.from_json("value", s, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}).alias("r"))
+    bad = F.raise_error(F.concat(F.lit("corrupt JSONL in "), F.col("file"), F.lit(": "), F.left("value", F.lit(200))))
+    return r.select(F.when(F.col(f"r.{BAD}").isNotNull(), bad.cast(s)).otherwise(F.col("r")).alias("r")).select("r.*").drop(BAD)
 
 
 def counted(spark: SparkSession, path, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
@@ -43,7 +48,10 @@ def write_jsonl(df: DataFrame, path: str, order: list[str] | None = None, mode:
     (df.orderBy(*order).coalesce(1) if order else df).write.mode(mode).json(path)
 
 
-def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
+def write_splits(df: DataFrame, path: str, split: str = "split", schema: T.StructType | None = None) -> None:
+    """A folder of zstd Parquet files for each split, with the schema's columns, types and order if there is one."""
+    if schema is not None:
+        df = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields), split)
     df.write.option("compression", "zstd").partitionBy(split).parquet(path)
 
 
@@ -52,8 +60,37 @@ def melted(df: DataFrame, ids: list[str], values: list[str]) -> DataFrame:
     return df.select(*ids, *(F.col(v).cast("double").alias(v) for v in values)).unpivot(ids, values, "metric", "value")
 
 
-def row_hash(row: Column) -> Column:
-    return F.sha2(F.to_json(row).cast("binary"), 256)
+#: The columns of a tokenized training row.
+TRAINING = T.StructType([
+    *(T.StructField(c, T.StringType()) for c in ("candidate_id", "question_id", "question_sha256")),
+    T.StructField("golden_answers", T.ArrayType(T.StringType())),
+    *(T.StructField(c, T.StringType()) for c in ("data_source", "hotpot_type", "hotpot_level")),
+    *(T.StructField(c, T.ShortType()) for c in ("search_action_count", "bm25_execution_count", "unique_document_count")),
+    *(T.StructField(c, T.StringType()) for c in ("evidence_grade", "teacher", "protocol_config_sha256", "pilot_manifest_sha256", "trajectory_audit_json")),
+    T.StructField("input_ids", T.ArrayType(T.IntegerType())),
+    T.StructField("attention_mask", T.ArrayType(T.ByteType())),
+    T.StructField("labels", T.ArrayType(T.IntegerType())),
+    *(T.StructField(c, T.IntegerType()) for c in ("token_count", "supervised_token_count", "information_token_count", "prompt_token_count")),
+])
+
+
+def read_counted(spark: SparkSession, path: str, rows: int) -> DataFrame:
+    """Parquet that must have so many rows."""
+    df = spark.read.parquet(path)
+    if (n := df.count()) != rows:
+        raise ValueError(f"{path} has {n} rows; {rows} are expected")
+    return df
+
+
+def write_descriptor(path: str | Path, files: dict[str, str]) -> None:
+    """``dataset_info.json``: each data set's file of conversations, for trainers that read such."""
+    info = {name: {"file_name": f, "formatting": "sharegpt", "columns": {"messages": "conversations"}} for name, f in files.items()}
+    Path(path).write_text(json.dumps(info, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
+
+
+def row_hash(df: DataFrame) -> Column:
+    """Digest of a row as JSON with its columns in order of their names."""
+    return F.sha2(F.to_json(F.struct(*sorted(df.columns))).cast("binary"), 256)
 
 
 def file_sha256(path: str | Path) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -15,7 +17,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_episodica_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp()) / "episodica.zip"
+    folder = tempfile.mkdtemp()  # on the driver, which serves the archive as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "episodica.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for p in sorted(package.rglob("*.py")):
             z.write(p, p.relative_to(package.parent))

@@ -76,7 +76,7 @@ def test_model_input(spark):
 def episode(spark, *turns, budget=4):
     rows = [("e", i, *t, *(None,) * (4 - len(t))) for i, t in enumerate(turns)]
     t = spark.createDataFrame(rows, "episode string, turn int, kind string, query_key string, doc_keys array<string>, failure string")
-    return replay.reasons(replay.replay(t, budget)).first()
+    return replay.reasons(replay.replay(t, budget), F.lit(True)).first()
 
 
 @pytest.mark.parametrize(("failure", "executed"), [("retrieval_error", 1), ("empty_search_result", 2), ("observation_error", 2)])
