@@ -20,8 +20,11 @@ SHARDS = 16
 RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 250_000, 64, 4096
 #: Keys drawn for each range, at most; and how much fuller than the mean a range may be.
 DRAWS, OVERFULL = 16, 3
-#: A group of equal texts of at most this share of a shard stays in one shard.
+#: A group of equal texts of at most this share of a shard's bytes stays in one shard, whatever the table's size: the
+#: law is about bytes, and a larger group, kept whole, could alone be more than a shard.
 WHOLE_GROUP = 0.02
+#: Times that overfull ranges are subdivided, at most; what then is still overfull is sorted on disk by its task.
+ROUNDS = 8
 
 
 def splitters_below(key: Column, splitters: list[str]) -> Column:
@@ -33,6 +36,10 @@ def splitters_below(key: Column, splitters: list[str]) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda k, s: F.when(F.get(array, k + s - 1) <= key, k + s).otherwise(k))
 
 
+#: Hex digits of the text's digest, with which a key begins.
+DIGEST = 32
+
+
 def quantiles(drawn: list[str], n: int) -> list[str]:
     """n - 1 of the drawn keys at equal distances. The first of one text is put before all its copies, so that
     only groups with several splitters are cut."""
@@ -40,8 +47,8 @@ def quantiles(drawn: list[str], n: int) -> list[str]:
     for k in range(1, n):
         if drawn:
             key = drawn[k * len(drawn) // n]
-            out.append(key[:32] if key[:32] != last else key)
-            last = key[:32]
+            out.append(key[:DIGEST] if key[:DIGEST] != last else key)
+            last = key[:DIGEST]
     return sorted(set(out))
 
 
@@ -58,7 +65,7 @@ def ranged(records: DataFrame, splitters: list[str]) -> DataFrame:
 
 def find_splitters(records: DataFrame, total: int, ranges: int) -> list[str]:
     splitters = quantiles(draw(records, total, DRAWS * ranges), ranges)
-    for _ in range(2):
+    for _ in range(ROUNDS):
         sizes = {r["range"]: r["bytes"] for r in ranged(records, splitters).groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).where(F.col("n") > 1).collect()}
         over = {k: b for k, b in sizes.items() if b > OVERFULL * total / ranges}
         if not over or len(splitters) >= 2 * MOST_RANGES:
@@ -71,23 +78,24 @@ def find_splitters(records: DataFrame, total: int, ranges: int) -> list[str]:
             k = next(i for i in sorted(over, reverse=True) if edges[i] <= key)
             drawn[k].append(key)
         for k, keys in drawn.items():
-            parts = -(-over[k] * ranges // total)
-            keys.sort()
-            more.update(keys[i * len(keys) // parts] for i in range(1, parts) if keys)
+            more.update(quantiles(keys, -(-over[k] * ranges // total)))
         if more == set(splitters):
             break
         splitters = sorted(more)
     return splitters
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, range_rows: int = RANGE_ROWS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, range_rows: int = RANGE_ROWS, whole_group: float = WHOLE_GROUP) -> DataFrame:
     """Put every document into a shard; the law is ``bytes``: shards' sizes are near equal.
 
     ``size``: UTF-8 bytes of the text and 1; ``slot``: the record's place in its shard, gapless from 0;
     ``grown_shard`` is null, as this law moves records when shards are added. Equal texts stay in one shard,
-    unless they are more than a fiftieth of one: then they are cut where shards end.
+    unless they are more than ``whole_group`` of one (a fiftieth): then they are cut where shards end. So a shard is
+    off the mean by that share and one text at most; at 0 every group may be cut, at 1 those of up to a shard are
+    whole and shards may be off by a group.
 
-    Null texts have the size 1 and the checksum 0. A null doc_id comes last of its text. Repeated rows each get
+    Very long texts are records like any other; only their size and digest are kept. Other columns, also of clashing
+    names, are not read. Null texts have the size 1 and the checksum 0. A null doc_id comes last of its text. Repeated rows each get
     a slot of their own; which of them gets which makes no difference. An empty table gives no rows.
     """
     text = F.coalesce("text", F.lit(""))
@@ -113,12 +121,12 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, range_rows: int = RAN
     placed = (
         ranged(records, splitters)
         .join(offsets, "range")
-        .withColumn("digest", F.substring("key", 1, 32))
+        .withColumn("digest", F.substring("key", 1, DIGEST))
         .withColumn("start", F.col("bytes_at") + F.coalesce(F.sum("size").over(before), F.lit(0)))
         .withColumn("row", F.col("rows_at") + F.row_number().over(inside) - 1)
         .withColumn("group_start", F.min("start").over(group))
         .withColumn("group_size", F.sum("size").over(group))
-        .withColumn("whole", F.col("group_size") <= WHOLE_GROUP * total / shards)
+        .withColumn("whole", F.col("group_size") <= whole_group * total / shards)
         .withColumn("middle", F.when(F.col("whole"), 2 * F.col("group_start") + F.col("group_size")).otherwise(2 * F.col("start") + F.col("size")))
         .withColumn("shard", F.least(F.lit(shards - 1), F.floor(F.col("middle") * shards / (2 * max(1, total)))).cast("int"))
     )
