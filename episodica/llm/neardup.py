@@ -7,7 +7,8 @@ one bucket for each chunk and each symbol of it that is left out, so all such pa
 threshold of 0.8 a pair misses all its chunks with a chance of 2 in a million.)
 
 In a bucket each class is first compared with the bucket's smallest one only; links that hold are merged. What
-is then still in different components of one bucket is compared in full, by bitmaps that cannot miss a link. So
+is then still in different components of one bucket is compared in full, by bitmaps that cannot miss a link; a
+large bucket is split into blocks, and each pair of blocks is compared by itself, so that no bucket is one task's. So
 a family of copies brings about as many pairs as it has members, and yet no link between different components
 is lost. All links are confirmed on the full shingle sets.
 """
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, dropped, map_slices, pick, written
@@ -36,6 +37,8 @@ MOST_SENT = 1_000_000
 MAPS = 16
 BITMAP = [f"m{k}" for k in range(MAPS)]
 MEMO_WORDS = 60_000
+#: Classes of one bucket that are compared with each other at once.
+BLOCK = 512
 
 _rng = np.random.default_rng(20_240)
 MULTIPLY = _rng.integers(0, 1 << 63, SYMBOLS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -207,19 +210,24 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     classes = marked.where("n_shingles > 0 and doc_id is not null").groupBy(*digest).agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("signature", *BITMAP)))
     classes = written(classes, "neardup-classes")
     buckets = bucket_rows(classes.select("id", F.col("n_shingles").alias("n"), "signature"))
-    # The smallest class of each bucket, on each row of a bucket with several.
-    bucket = Window.partitionBy("key")
-    headed = buckets.withColumn("head", F.min(F.struct("id", "n", "b1", "b2")).over(bucket)).withColumn("last", F.max("id").over(bucket)).where("head.id < last")
-    shared = written(headed.select("key", "id", "n", "b1", "b2", *(F.col(f"head.{c}").alias(f"h_{c}") for c in ("id", "n", "b1", "b2"))), "neardup-buckets")
+    # The smallest class of each bucket with several, summed up before the shuffle; then on each row of such a bucket.
+    heads = buckets.groupBy("key").agg(F.min(F.struct("id", "n", "b1", "b2")).alias("head"), F.max("id").alias("last")).where("head.id < last")
+    heads = heads.select("key", *(F.col(f"head.{c}").alias(f"h_{c}") for c in ("id", "n", "b1", "b2")))
+    shared = written(buckets.join(heads, "key"), "neardup-buckets")
     tried = written(shared.where((F.col("id") != F.col("h_id")) & may_link("", "h_", percent)).select(F.col("h_id").alias("a"), F.col("id").alias("b")).distinct(), "neardup-tried")
     links = confirmed(tried, rows, words, percent)
     labels = components(links)
     # What meets in a bucket and is not in one component yet.
     member = shared.select("key", "id", "n", "b1", "b2").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed_keys = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    member = written(member.join(mixed_keys, "key", "left_semi").join(classes.select("id", *BITMAP), "id"), "neardup-members")
-    left, right = (member.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "n", "b1", "b2", "component", *BITMAP))) for x in "ab")
-    across = left.join(right, "key").where((F.col("a_component") < F.col("b_component")) & may_link("a_", "b_", percent) & can_link("a_", "b_", percent))
+    mixed_keys = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x < y").select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    member = written(member.join(mixed_keys, "key").join(classes.select("id", *BITMAP), "id"), "neardup-members")
+    # Each row goes to all pairs of blocks (lo, hi) that its own block is in.
+    member = member.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    place = ["key", "lo", "hi"]
+    member = member.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    left, right = (member.select(*place, *(F.col(c).alias(f"{x}_{c}") for c in ("id", "n", "b1", "b2", "component", "block", *BITMAP))) for x in "ab")
+    once = (F.col("lo") == F.col("hi")) | (F.col("a_block") != F.col("b_block"))
+    across = left.join(right, place).where(once & (F.col("a_component") < F.col("b_component")) & may_link("a_", "b_", percent) & can_link("a_", "b_", percent))
     more = across.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = written(more, "neardup-more")
     links = links.union(confirmed(more, rows, words, percent))
