@@ -102,6 +102,20 @@ def test_parse(docs):
     assert all(fingerprints.parse(t, set()) == phrases(t) for t in [*docs.values(), "", "aaaaaaa", "abababab"])
 
 
+def test_stored_all():
+    """Whole slices of odd texts, prefix by prefix, as the library counts them."""
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(12)
+    library, counter = Tokenizer.from_file(path), tokencount.PrefixCounter(path)
+    parts = [*" \n\t\r\x0b\x00'srevlldmtaZé1２!< 　\xa0\u2028語", "<|endoftext|>", "  ", "   ", "'re", "\n ", " \n", " the", " the", " and", "x" * 50, "語" * 90, "!?" * 300, " \x85 "]
+    for _ in range(120):
+        texts = ["".join(rng.choices(parts, k=rng.randint(0, 16))) for _ in range(6)]
+        counts, at = counter.stored_all(pa.array(["shift me", *texts])[1:])
+        for t, a, b in zip(texts, at, at[1:], strict=False):
+            assert counts[a:b].tolist() == counter.prefixes(t)
+            ends = range(len(t) + 1) if len(t) < 60 else (len(t),)
+            assert [counts[a + k] for k in ends] == [len(library.encode(t[:k], add_special_tokens=False).ids) for k in ends]
+
+
 def test_stored_prefix_counts(spark, docs):
     library, rng = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(5)
     rows = collected(spark, "op2_token_counts")
@@ -292,6 +306,27 @@ def test_shards(spark, docs):
     assert max(size.values()) - min(size[k] for k in range(16)) <= 2 * most
 
 
+def test_shards_against_order(spark):
+    """The law by brute force: records in order of their keys, each in the shard that holds its group's middle, or, of a
+    group over a fiftieth of a shard, its own."""
+    rng = random.Random(6)
+    texts = [("c" * 9_000 if k % 5 == 0 else f"t{k % 700}" * rng.randint(1, 40)) for k in range(3000)]
+    d = spark.createDataFrame([(k if k % 11 else None, t, None, None, 0) for k, t in enumerate(texts)], SCHEMA)
+    got = Counter((r["doc_id"], r["size"], r["shard"]) for r in sharding.shard_documents(d).collect())
+    keyed = sorted((hashlib.md5(t.encode()).hexdigest(), f"{k:016x}" if k % 11 else "~", k if k % 11 else None, len(t) + 1) for k, t in enumerate(texts))
+    total, at, groups = sum(x[3] for x in keyed), 0, defaultdict(list)
+    for digest, _, i, size in keyed:
+        groups[digest].append((at, i, size))
+        at += size
+    want = Counter()
+    for rows in groups.values():
+        whole = sum(x[2] for x in rows)
+        for start, i, size in rows:
+            middle = 2 * rows[0][0] + whole if whole <= 0.02 * total / 16 else 2 * start + size
+            want[i, size, min(15, middle * 16 // (2 * total))] += 1
+    assert got == want
+
+
 def test_shards_hot(spark):
     d = spark.createDataFrame([(k, "hot" if k % 3 else f"t{k}", None, None, 0) for k in range(6000)], SCHEMA)
     rows = sharding.shard_documents(d).collect()
@@ -355,27 +390,57 @@ def test_licenses(spark, docs):
         assert set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(","))
 
 
+def license_words(rng, vocabulary):
+    """Notices, changed and spread ones among other words."""
+    words = []
+    while len(words) < rng.randint(0, 400):
+        t = rng.choice(licenses.TEMPLATES)[1].split()
+        if rng.random() < 0.5:
+            t[rng.randrange(len(t))] = rng.choice(vocabulary)
+        if rng.random() < 0.3:
+            k = rng.randrange(len(t))
+            t[k:k] = rng.choices(vocabulary, k=rng.choice((5, 30, 50)))
+        words += t if rng.random() < 0.4 else rng.choices(vocabulary, k=9)
+    return [x.encode() for x in words]
+
+
 def test_license_join_is_exact():
+    """Against every block that starts at any word."""
     rng = random.Random(4)
     vocabulary = sorted({w for _, t in licenses.TEMPLATES for w in t.split()})
     frequency = Counter(tuple(x.encode() for x in rng.choices(vocabulary, k=2)) for _ in range(500))
     index = licenses.Index(licenses.TEMPLATES, 0.8, frequency, 64)
-    for _ in range(200):
-        words = []
-        while len(words) < rng.randint(0, 300):
-            t = rng.choice(licenses.TEMPLATES)[1].split()
-            if rng.random() < 0.5:
-                t[rng.randrange(len(t))] = rng.choice(vocabulary)
-            words += [x.encode() for x in (t if rng.random() < 0.4 else rng.choices(vocabulary, k=9))]
-        last = max(0, -(-(len(words) - 64) // 32)) * 32
-        want = []
-        for start in range(0, last + 1, 32):
-            block = licenses.shingles_of(words[start : start + 64])
-            for k, (_, t) in enumerate(licenses.TEMPLATES):
-                x = licenses.shingles_of(licenses.words_of(t))
-                if len(x & block) >= 0.8 * len(x) - 1e-9:
-                    want.append((start, k, len(x & block) / len(x)))
-        assert sorted(index.matches(words)) == sorted(want)
+    joined = 0
+    for _ in range(60):
+        words = license_words(rng, vocabulary)
+        got = index.matches(words)
+        joined += len(got)
+        for t, (_, notice) in enumerate(licenses.TEMPLATES):
+            x = licenses.shingles_of(licenses.words_of(notice))
+            size = max(64, -(-3 * len(notice.split()) // 2))
+            held = {p: len(x & licenses.shingles_of(words[p : p + size])) / len(x) for p in range(len(words))}
+            want = {p: c for p, c in held.items() if c >= 0.8 - 1e-9}
+            mine = [(a, b, c) for a, b, k, c in got if k == t]
+            assert max((c for *_, c in mine), default=0) == max(want.values(), default=0)
+            for a, b, c in mine:
+                assert b - a <= size and len(x & licenses.shingles_of(words[a:b])) / len(x) == c >= 0.8 - 1e-9
+            starts = sorted(want)
+            assert len(mine) >= sum(k == 0 or p - starts[k - 1] > size for k, p in enumerate(starts))
+    assert joined > 50
+
+
+def test_license_labels(spark):
+    body = dict(reversed([(label, t) for label, t in licenses.TEMPLATES]))
+    full = {label: max((t for x, t in licenses.TEMPLATES if x == label), key=len) for label in body}
+    isc = next(t for label, t in licenses.TEMPLATES if label == "isc").split()
+    spread = " ".join([*isc[:10], *(f"z{k}" for k in range(40)), *isc[10:]])
+    texts = [*full.values(), *(f"{'q ' * k}{spread}" for k in (0, 16, 31)), "Licensed under CC BY-NC 4.0.", "Licensed under CC BY 4.0.", "licensed under nothing", None, ""]
+    d = spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(d).collect()}
+    # These two hold a phrase of the general one, whose label stays.
+    assert [got[k]["labels"] for k in range(len(full))] == [{"lgpl": "gpl,lgpl", "agpl": "agpl,gpl"}.get(x, x) for x in full]
+    assert [got[len(full) + k]["labels"] for k in range(8)] == ["isc", "isc", "isc", "cc-by-nc", "cc-by", "", "", ""]
+    assert all((r["score"] > 0) == bool(r["labels"]) for r in got.values())
 
 
 def brute_components(texts, words=2, percent=80):
@@ -409,6 +474,22 @@ def test_duplicates(spark, docs):
     assert all(r["kept"] == (i == want[i]) for i, r in got.items())
 
 
+def test_duplicate_buckets_in_blocks(spark, monkeypatch):
+    """Buckets that are split into many blocks lose no link."""
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    rng, texts = random.Random(8), {}
+    for family in range(2):
+        base = [f"f{family}w{k}" for k in range(120)]
+        for _ in range(70):
+            w = list(base)
+            for k in rng.sample(range(len(w)), rng.randint(3, 11)):
+                w[k] = f"r{rng.randrange(10**6)}"
+            texts[len(texts)] = " ".join(w)
+    d = spark.createDataFrame([(i, t, None, None, 0) for i, t in texts.items()], SCHEMA)
+    want = brute_components(texts)[0]
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(d, words=2).collect()} == want and 2 < len(set(want.values())) < 140
+
+
 def test_duplicate_families(spark):
     """Families whose members are near the threshold to each other, so that chains matter."""
     rng = random.Random(5)
