@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..sources.shipping import ship
+from ..sources.tables import shared_folder
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -84,6 +85,14 @@ class Memo(dict):
         return [k for k in keys.difference(self) if k not in self.old]
 
 
+def laid_out(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of ``flat`` (starts, sizes) in the given order, one after the other, and their borders."""
+    each = sizes[order]
+    ends = np.concatenate(([0], np.cumsum(each)))
+    place = np.repeat(starts[order] - ends[:-1], each) + np.arange(ends[-1])
+    return flat[place], ends
+
+
 _kept: dict = {}
 
 
@@ -106,8 +115,8 @@ def freed(*but: tuple) -> None:
             ctypes.CDLL(None).malloc_trim(0)
 
 
-def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list]]], ddl: str, rows: int = SLICE_ROWS, keeps: tuple = ()) -> DataFrame:
-    """Map Arrow record batches in slices of at most ``rows`` rows.
+def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list]]], ddl: str, rows: int = SLICE_ROWS, keeps: tuple = (), most: int = SLICE_BYTES) -> DataFrame:
+    """Map Arrow record batches in slices of at most ``rows`` rows and ``most`` bytes of text.
 
     ``make`` is called once in each task and gives the function that turns a slice into columns; what it
     builds (vocabularies, memos) lives as long as the task, unless ``kept_by_worker`` keeps it, as ``keeps``.
@@ -119,7 +128,7 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
         freed(keeps)
         f = make()
         for batch in batches:
-            for part in slices(batch, rows):
+            for part in slices(batch, rows, most):
                 yield pa.RecordBatch.from_pydict(f(part), schema=arrow)
 
     return df.mapInArrow(run, schema)
@@ -140,20 +149,10 @@ def accepted(docs: DataFrame, make: Callable[[], Callable[[list], list[bool]]])
     return rows.mapInArrow(run, rows.schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``. Where the cluster
-    names none (tests, local mode) a folder below /tmp is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read that again. It survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path

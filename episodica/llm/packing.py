@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Memo, freed, kept_by_worker, pick, slices, struct, text_or_empty
+from .common import Memo, freed, kept_by_worker, laid_out, pick, slices, struct, text_or_empty
 
 CONTEXT = 4096
 TIERS = (512, 1024, 2048)
@@ -39,14 +39,6 @@ SLICE = 1024, 4 << 20
 Piece = tuple[int, int, int]
 
 
-def laid_out(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pieces of ``flat`` (starts, sizes) in the given order, one after the other, and their borders."""
-    each = sizes[order]
-    ends = np.concatenate(([0], np.cumsum(each)))
-    place = np.repeat(starts[order] - ends[:-1], each) + np.arange(ends[-1])
-    return flat[place], ends
-
-
 class WordIds:
     """Ids of texts as unsigned 32-bit integers.
 
@@ -235,7 +227,7 @@ def pack(docs: DataFrame, tokenizer_path: str, context: int = CONTEXT, tiers: tu
     ``with_ids`` adds the ids themselves (little-endian unsigned 32-bit).
 
     Null and empty texts are documents of the end id alone. A null doc_id is kept. Repeated rows are packed
-    each by itself. An empty table gives no rows. Very long texts are cut into windows like any other.
+    each by itself. An empty table gives no rows. Very long texts are cut into windows like any other. Other columns, also of clashing names, are not read.
     """
     ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, padded_length long, tier long, step_group long" + ", ids binary" * with_ids
     schema = struct(ddl)

@@ -16,17 +16,27 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Memo, kept_by_worker, map_slices, pick, text_or_empty
+from .common import Memo, kept_by_worker, laid_out, map_slices, pick, text_or_empty
 
 #: Fixed value: the pattern by which this family of byte-level vocabularies splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LIMIT = 1024
-MEMO_WORDS, MEMO_BYTES = 400_000, 64
+#: Words, and pieces from one space to the next, that a worker remembers in each of two generations, and the longest.
+MEMO_WORDS, MEMO_BYTES = 100_000, 40
+#: Pairs of tokens, and steps of the automaton, that a worker remembers.
+MOST_KNOWN = 400_000
+#: Rows and bytes of text that are counted together.
+SLICE = 4096, 4 << 20
 #: White space side by side; separators that only some engines call white space.
 RUNS, ODD = re.compile(r"\s{2,}"), re.compile("[\x1c-\x1f]")
+#: The same for Arrow's engine. A single space always begins a word, but not between white space or at the end of it.
+WHITE = r"[\t-\r \x{85}\p{Z}]"
+SIDE_BY_SIDE, UNCUT = WHITE + "{2}", rf"[\x00\x1c-\x1f]|{WHITE} (?:{WHITE}|\z)"
 
 
 def byte_letters() -> dict[str, int]:
@@ -57,25 +67,54 @@ class PrefixCounter:
         self.specials = [t["content"] for t in spec.get("added_tokens", ())]
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.words = regex.compile(PATTERN)
-        # Tokens by their bytes from the last to the first: node * 256 + byte -> node; a node's token, if it ends one.
-        self.step: dict[int, int] = {}
-        self.token = [-1]
-        for token, t in self.ids.items():
-            node = 0
-            for b in reversed(token):
-                nxt = self.step.get(node << 8 | b)
-                if nxt is None:
-                    nxt = self.step[node << 8 | b] = len(self.token)
-                    self.token.append(-1)
-                node = nxt
-            self.token[node] = t
         self.size = [0] * len(self.parts)
         for token, t in self.ids.items():
             self.size[t] = len(token)
+        self.automaton()
         self.pairs: dict[int, bool] = {}
         self.memo = Memo(MEMO_WORDS, self.piece)
         self.word_memo = Memo(MEMO_WORDS, self.whole)
-        self.point_memo = Memo(MEMO_WORDS, self.points)
+        self.point_memo, self.piece_memo = Memo(MEMO_WORDS, self.points), Memo(MEMO_WORDS)
+
+    def automaton(self) -> None:
+        """Which tokens end at a byte: ``step`` leads from node to node (node * 256 + byte), and on from a node that has no such
+        child by its ``fail`` node, the longest end of its bytes that is a node too. ``longest``: the longest token that
+        a node's bytes end in; ``shorter``: the longest one that a token ends in, itself aside."""
+        self.step: dict[int, int] = {}
+        self.jump: dict[int, int] = {}
+        own, above, depth = [-1], [0], [0]
+        for token, t in self.ids.items():
+            node = 0
+            for b in token:
+                nxt = self.step.get(node << 8 | b)
+                if nxt is None:
+                    nxt = self.step[node << 8 | b] = len(own)
+                    own.append(-1)
+                    above.append(node << 8 | b)
+                    depth.append(depth[node] + 1)
+                node = nxt
+            own[node] = t
+        self.fail, self.longest, self.shorter = [0] * len(own), list(own), [-1] * len(self.parts)
+        for v in sorted(range(1, len(own)), key=depth.__getitem__):
+            parent, b = above[v] >> 8, above[v] & 255
+            self.fail[v] = self.after(self.fail[parent] << 8 | b) if parent else 0
+            shorter = self.longest[self.fail[v]]
+            if own[v] >= 0:
+                self.shorter[own[v]] = shorter
+            else:
+                self.longest[v] = shorter
+        self.jump.clear()
+
+    def after(self, key: int) -> int:
+        """The node after a node and a byte."""
+        found = self.step.get(key)
+        if found is None and (found := self.jump.get(key)) is None:
+            node, b = key >> 8, key & 255
+            found = self.after(self.fail[node] << 8 | b) if node else 0
+            if len(self.jump) > MOST_KNOWN:
+                self.jump.clear()
+            self.jump[key] = found
+        return found
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether encoding the bytes of tokens a and b together gives a and b: undo both tokens' merges, the
@@ -103,35 +142,37 @@ class PrefixCounter:
                     limit, a = a, parts[a][1]
                     continue
                 limit, b = b + 1, parts[b][0]
-        if len(self.pairs) > 2_000_000:
+        if len(self.pairs) > MOST_KNOWN:
             self.pairs.clear()
         self.pairs[key] = ok
         return ok
 
     def word(self, word: bytes) -> list[int]:
         """Counts at byte prefixes 0 to len of one word, which no pattern splits further."""
-        last, count = [-1], [0]
-        self.extend(word, last, count)
+        nodes, last, count = [0], [-1], [0]
+        self.extend(word, nodes, last, count)
         return count
 
-    def extend(self, word: bytes, last: list[int], count: list[int]) -> None:
-        """Carry the last tokens and the counts on from the prefix that they hold to the whole word."""
-        step, token, size = self.step, self.token, self.size
+    def extend(self, word: bytes, nodes: list[int], last: list[int], count: list[int]) -> None:
+        """Carry nodes, last tokens and counts on from the prefix that they hold to the whole word."""
+        step, longest, shorter, size, pairs = self.step, self.longest, self.shorter, self.size, self.pairs
+        node = nodes[-1]
         for i in range(len(count), len(word) + 1):
-            node, k, ends = 0, i, []
-            while k:
-                node = step.get(node << 8 | word[k - 1])
-                if node is None:
-                    break
-                k -= 1
-                if token[node] >= 0:
-                    ends.append(token[node])
-            for t in reversed(ends):
-                before = i - size[t]
-                if not before or self.compatible(last[before], t):
-                    last.append(t)
-                    count.append(count[before] + 1)
+            key = node << 8 | word[i - 1]
+            node = step.get(key)
+            if node is None:
+                node = self.after(key)
+            nodes.append(node)
+            t = longest[node]
+            while before := i - size[t]:
+                ok = pairs.get(last[before] << 20 | t)
+                if ok is None:
+                    ok = self.compatible(last[before], t)
+                if ok:
                     break
+                t = shorter[t]
+            last.append(t)
+            count.append(count[before] + 1)
 
     def learn(self, words: list[str]) -> dict[str, int]:
         """Counts of many words."""
@@ -140,21 +181,88 @@ class PrefixCounter:
     def sweep(self, words: list[str]) -> Iterator[tuple[str, bytes, list[int]]]:
         """Each word with its counts at byte prefixes, which hold until the next one. In sorted order a word shares
         its first bytes' counts with the one before."""
-        before, last, count = b"", [-1], [0]
+        before, nodes, last, count = b"", [0], [-1], [0]
         for raw, w in sorted((w.encode(), w) for w in words):
             same, most = 0, min(len(raw), len(before))
             while same < most and raw[same] == before[same]:
                 same += 1
-            del last[same + 1 :], count[same + 1 :]
-            self.extend(raw, last, count)
+            del nodes[same + 1 :], last[same + 1 :], count[same + 1 :]
+            self.extend(raw, nodes, last, count)
             yield w, raw, count
             before = raw
 
     def prepare(self, texts: list[str]) -> None:
         """Learn together what is new in the texts, for their prefixes."""
-        new = self.point_memo.unknown({w for t in texts for w in self.words.findall(t) if len(w) <= MEMO_BYTES})
-        for w, raw, counts in self.sweep(new):
-            self.point_memo.put(w, self.of_points(w, raw, counts))
+        self.words_points({w for t in texts for w in self.words.findall(t) if len(w) <= MEMO_BYTES})
+
+    def words_points(self, words: set[str]) -> dict[str, bytes | list[int]]:
+        """Words' counts at their code points; what is new is learnt together."""
+        out = {w: known for w in words if (known := self.point_memo.known(w)) is not None}
+        for w, raw, counts in self.sweep(words - out.keys()):
+            out[w] = found = self.of_points(w, raw, counts)
+            if len(w) <= MEMO_BYTES:
+                self.point_memo.put(w, found)
+        return out
+
+    def pieces_points(self, pieces: list[str]) -> list[bytes | None]:
+        """Counts at the code points of distinct pieces, from each piece's own beginning; None if a byte is too small."""
+        out = list(map(self.piece_memo.known, pieces))
+        new = [(k, self.words.findall(pieces[k])) for k, known in enumerate(out) if known is None]
+        points = self.words_points({w for _, words in new for w in words})
+        for k, words in new:
+            if len(words) == 1:
+                found = points[words[0]]
+                found = found if type(found) is bytes else None
+            else:
+                own = [points[w] for w in words]
+                found = None
+                if sum(x[-1] for x in own) < 256 and all(type(x) is bytes for x in own):
+                    base, parts = 0, []
+                    for x in own:
+                        parts.append(bytes([base + c for c in x]) if base else x)
+                        base += x[-1]
+                    found = b"".join(parts)
+            out[k] = found
+            if found is not None and len(pieces[k]) <= MEMO_BYTES:
+                self.piece_memo.put(pieces[k], found)
+        return out
+
+    def stored_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``stored`` of all texts, one after the other, and where each begins and the last ends.
+
+        Texts are cut before single spaces, where a word always begins, and Arrow numbers the distinct pieces; a
+        text's counts are its pieces' counts, each on top of what is before it. Texts that cannot be cut so, with
+        white space on both sides of a space, special strings, or pieces of 256 tokens, are counted one by one.
+        """
+        plain = pc.invert(pc.match_substring_regex(texts, UNCUT))
+        for special in self.specials:
+            plain = pc.and_(plain, pc.invert(pc.match_substring(texts, special)))
+        cut = pc.split_pattern(pc.replace_substring(texts, " ", "\x00 "), "\x00")
+        coded = cut.flatten().dictionary_encode()
+        points = self.pieces_points(coded.dictionary.to_pylist())
+        wide = np.fromiter((x is None for x in points), bool, len(points))
+        own = [x or b"" for x in points]
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        totals = np.fromiter((x[-1] if x else 0 for x in own), np.int64, len(own))
+        at, borders = coded.indices.to_numpy(), cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        flat, ends = laid_out(np.frombuffer(b"".join(own), np.uint8), np.cumsum(sizes) - sizes, sizes, at)
+        upto = np.concatenate(([0], np.cumsum(totals[at])))
+        base = upto[:-1] - np.repeat(upto[borders[:-1]], np.diff(borders))
+        counts = flat + np.repeat(base, sizes[at])
+        good = plain.to_numpy(zero_copy_only=False) & (np.add.reduceat(np.append(wide[at], False), borders[:-1]) == 0)
+        together = pc.match_substring_regex(texts, SIDE_BY_SIDE).to_numpy(zero_copy_only=False)
+        out, n = [], ends[borders]
+        for k in range(len(texts)):
+            if not good[k]:
+                out.append(self.stored(texts[k].as_py()))
+                continue
+            x = np.zeros(n[k + 1] - n[k] + 1, "<u4")
+            x[1:] = counts[n[k] : n[k + 1]]
+            if together[k]:
+                for m in RUNS.finditer(texts[k].as_py()):
+                    x[m.start() + 1 : m.end() + 1] = x[m.start()] + np.array(list(self.at_points(m[0])), "<u4")
+            out.append(x)
+        return np.concatenate(out), np.concatenate(([0], np.cumsum([len(x) for x in out])))
 
     def plain(self, text: str) -> list[int]:
         """Counts at all code point prefixes of a text without special strings."""
@@ -293,10 +401,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, with_
     """Tokens of every whole text and the longest prefix within ``limit`` tokens (``fit_chars``).
 
     ``with_prefixes`` adds ``prefix_counts``: the count at each code point prefix, 0 to n, as little-endian
-    unsigned 32-bit integers; any truncation or budget is then answered by a lookup.
+    unsigned 32-bit integers; any truncation or budget is then answered by a lookup. They take four bytes a code
+    point, so a text of 2^29 code points is too long for one value.
 
     Null and empty texts have 0 bytes and 0 tokens. Special strings inside texts are single tokens, as in the
-    library by default. A null doc_id is kept; repeated rows give repeated rows; an empty table gives none.
+    library by default. A null doc_id is kept; repeated rows give repeated rows; an empty table gives none. Very long
+    texts are counted whole, each by itself. Other columns, also of clashing names, are not read.
     """
 
     key = ("tokencount", tokenizer_path)
@@ -305,21 +415,24 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, with_
         counter = kept_by_worker(key, lambda: PrefixCounter(tokenizer_path))
 
         def f(batch):
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, texts = batch.column(0), batch.column(1)
+            size = pc.binary_length(texts)
             if with_prefixes:
-                return {"doc_id": ids} | from_prefixes(texts)
+                return {"doc_id": ids, "n_bytes": pc.cast(size, "int64")} | from_prefixes(texts)
+            texts = texts.to_pylist()
             found = list(counter.counts(texts))
             tokens = [sum(c) for _, c in found]
-            out = {"doc_id": ids, "n_bytes": [len(t.encode("utf-8", "replace")) for t in texts], "n_tokens": tokens, "over_limit": [n > limit for n in tokens], "fit_chars": [counter.fits(*x, limit) if n > limit else len(t) for t, n, x in zip(texts, tokens, found, strict=True)]}
-            return out
+            return {"doc_id": ids, "n_bytes": pc.cast(size, "int64"), "n_tokens": tokens, "over_limit": [n > limit for n in tokens], "fit_chars": [counter.fits(*x, limit) if n > limit else len(t) for t, n, x in zip(texts, tokens, found, strict=True)]}
 
         def from_prefixes(texts):
             """All columns from the stored counts; no text is encoded again."""
-            counter.prepare(texts)
-            stored = [counter.stored(t) for t in texts]
-            return {"n_bytes": [len(t.encode("utf-8", "replace")) for t in texts], "n_tokens": [int(x[-1]) for x in stored], "over_limit": [bool(x[-1] > limit) for x in stored], "fit_chars": [int(np.flatnonzero(x <= limit)[-1]) for x in stored], "prefix_counts": [x.tobytes() for x in stored]}
+            counts, at = counter.stored_all(texts)
+            tokens = counts[at[1:] - 1].astype(np.int64)
+            fit = [int(b - a - 1) if n <= limit else int(np.flatnonzero(counts[a:b] <= limit)[-1]) for a, b, n in zip(at, at[1:], tokens)]
+            binary = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(counts)])
+            return {"n_tokens": tokens, "over_limit": tokens > limit, "fit_chars": fit, "prefix_counts": binary}
 
         return f
 
     rows = pick(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"))
-    return map_slices(rows, make, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long" + ", prefix_counts binary" * with_prefixes, keeps=key)
+    return map_slices(rows, make, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long" + ", prefix_counts binary" * with_prefixes, SLICE[0], keeps=key, most=SLICE[1])
