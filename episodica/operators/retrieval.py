@@ -1,13 +1,18 @@
-"""BM25 ranking over a postings table."""
+"""BM25 ranking over a stored postings table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.tables import cut, shared_folder
 
 K1, B, TOP = 0.9, 0.4, 3
+#: Rarest terms of a query by which its first bound is found.
+RARE = 4
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -16,16 +21,49 @@ def postings(docs: DataFrame) -> DataFrame:
     return d.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
-def search(index: DataFrame, lengths: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, top: int = TOP) -> DataFrame:
-    """The ``top`` documents of each query (query_id, text): query_id, rank, doc_id, score. Only postings of the
-    queries' terms are scored."""
+def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The postings, stored in order of their terms: a reader that filters by term skips the files and row groups of other
+    terms. Texts are read and tokenized once. Without a path the table is put into the shared folder."""
+    spark = docs.sparkSession
+    path = path or f"{shared_folder(spark)}/bm25-{uuid.uuid4().hex}"
+    postings(docs).repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.option("compression", "zstd").parquet(path)
+    return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def best(rows: DataFrame, score: Column, top: int) -> DataFrame:
+    """The ``top`` documents of each query (query_id, doc_id, w of each term), with score and rank."""
+    total = rows.groupBy("query_id", "doc_id").agg(score.alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    return total.withColumn("rank", rank).where(F.col("rank") <= top)
+
+
+def search(index: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, top: int = TOP) -> DataFrame:
+    """The ``top`` documents of each query (query_id, text): query_id, rank, doc_id, score.
+
+    A document's score is a sum over the query's terms, each at most the term's idf. The few rarest terms of a query
+    alone give ``top`` documents and so a score that must be reached. Terms that together cannot reach it find
+    no document by themselves: they are looked up only for documents that another term has found. So a word that
+    half of all documents hold does not bring these documents to each query that has it, and yet no document is
+    lost.
+    """
     q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    n = lengths.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+    n = index.agg(F.count_distinct("doc_id").alias("docs"), (F.sum("tf") / F.count_distinct("doc_id")).alias("mean"))
     hit = index.join(q.select("term").distinct(), "term", "left_semi")
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hit.join(df, "term").join(F.broadcast(n))  # one row
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    total = scored.select("term", "doc_id", weight.alias("w")).join(q, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return total.withColumn("rank", rank).where(F.col("rank") <= top)
+    terms = df.join(F.broadcast(n)).select("term", idf.alias("idf"), "mean")  # n is one row
+    weight = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    weights = cut(hit.join(terms, "term").select("term", "doc_id", weight.alias("w")))
+    by_idf = Window.partitionBy("query_id").orderBy("idf", "term")
+    asked = q.join(terms, "term").withColumn("upto", F.sum("idf").over(by_idf.rowsBetween(Window.unboundedPreceding, 0)))
+    asked = cut(asked.withColumn("rarity", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("idf"), F.desc("term")))).select("query_id", "term", "upto", "rarity"))
+    first = best(asked.where(F.col("rarity") <= RARE).join(weights, "term"), F.sum("w"), top)
+    bound = first.where(F.col("rank") == top).select("query_id", (F.col("score") - 1e-6).alias("bound"))
+    finds = asked.join(bound, "query_id", "left").where(F.col("upto") >= F.coalesce("bound", F.lit(0.0)))
+    found = finds.join(weights, "term").select("query_id", "doc_id").distinct()
+    # All of a query's terms in the documents that it has found.
+    return best(found.join(asked.select("query_id", "term"), "query_id").join(weights, ["term", "doc_id"]), F.round(F.sum("w"), 6), top)

@@ -81,6 +81,26 @@ def shortages(pool: DataFrame, keys: Sequence[str], targets: Mapping[tuple[str,
     return wanted.join(have, names, "left").withColumn("available", F.coalesce("available", F.lit(0))).where("available < needed")
 
 
+#: Grades in order of preference.
+GRADES = ("A", "B", "C")
+
+
+def candidate_order(source: Column, grade: Column, recall: Column, grounded: Column, truncations: Column, searches: Column, tokens: Column, candidate: Column) -> list[Column]:
+    """The order in which candidates are preferred: by grade, then coverage (of the multi-hop source; of the other by being
+    grounded), then fewer truncated observations, fewer searches, shorter prompts, and the id."""
+    multi = source == "hotpotqa"
+    rank = F.coalesce(*(F.when(grade == g, F.lit(i)) for i, g in enumerate(GRADES)), F.lit(len(GRADES)))
+    by_grade = F.when(multi, rank).otherwise(F.when(F.coalesce(grounded, F.lit(False)), 0).otherwise(1))
+    return [by_grade, F.when(multi, -F.coalesce(recall, F.lit(0.0))).otherwise(0.0), truncations, searches, tokens, candidate]
+
+
+def ranked_models(summaries: DataFrame) -> DataFrame:
+    """``rank`` of models (model, em, f1, mean_no_progress_searches, format_compliance_rate, search_limit_rate), one row each: the
+    better answers first, then less useless searching, better form, fewer that ran out of searches, and the name."""
+    order = [F.desc("em"), F.desc("f1"), "mean_no_progress_searches", F.desc("format_compliance_rate"), "search_limit_rate", "model"]
+    return summaries.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
 def fill_cells(pool: DataFrame, keys: Sequence[str], question: str, strata: Sequence[str], order: Sequence[str], targets: Mapping[tuple[str, ...], int]) -> DataFrame:
     """Fill the cells one after the other, in order of their keys. A question that an earlier cell took is out of
     later ones; within a cell the strata share its target by what they have, best ranks first.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import replay, results
+from ..operators import replay, results, sampling, selection
 from .queries import query, table
 
 #: Endings of searches that stand in the events by their key.
@@ -174,8 +174,8 @@ def _summary_sql(of: str, measures: dict[str, str], groups: tuple[str, ...], lab
     for g in (None, *groups):
         head = f"'{g or 'all'}' AS grouping, " + (g if g else "'all'") + " AS key"
         by = f" GROUP BY {g}" if g else ""
-        rows = ", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in measures.items())
-        parts.append(f"SELECT grouping, key, x[1] AS metric, round(x[2], 9) AS value FROM (SELECT grouping, key, unnest(xs) AS x FROM (SELECT {head}, [{', '.join(f'row({chr(39)}{k}{chr(39)}, CAST({v} AS DOUBLE))' for k, v in measures.items())}] AS xs FROM {of}{by}))" if rows else "")
+        cells = ", ".join(f"row('{k}', CAST({v} AS DOUBLE))" for k, v in measures.items())
+        parts.append(f"SELECT grouping, key, x[1] AS metric, round(x[2], 9) AS value FROM (SELECT grouping, key, unnest(xs) AS x FROM (SELECT {head}, [{cells}] AS xs FROM {of}{by}))")
         for metric, c in labels.items():
             source = f"(SELECT *, unnest({c}) AS label FROM {of})" if c == "reasons" else f"(SELECT *, {c} AS label FROM {of})"
             parts.append(f"SELECT {head}, '{metric}:' || label, CAST(count(*) AS DOUBLE) FROM {source} GROUP BY label" + (f", {g}" if g else ""))
@@ -210,3 +210,22 @@ def summary_v3(spark, d):
 @query(_R3 + " " + _summary_sql("r3", _SQL4, ("data_source",), {"termination": "termination", "reason": "reasons"}))
 def running_rollout_summary(spark, d):
     return _rounded(results.summary(_v3(spark, d), results.measures_running(), ["data_source"], {"termination": "termination", "reason": "reasons"}))
+
+
+@query(_R3 + " SELECT u AS question, bucket, episode FROM (SELECT *, row_number() OVER (PARTITION BY u, bucket ORDER BY CASE WHEN data_source = 'hotpotqa' THEN CASE evidence_grade WHEN 'A' THEN 0 WHEN 'B' THEN 1 ELSE 2 END ELSE CASE WHEN grounded THEN 0 ELSE 1 END END, CASE WHEN data_source = 'hotpotqa' THEN -coalesce(support_recall, 0) ELSE 0 END, repeated, searches, shown, episode) AS k FROM r3) WHERE k = 1")
+def best_candidates(spark, d):
+    """Of each user and search bucket the candidate that is preferred; repeats stand in for truncated observations, shown
+    documents for the length of its prompts."""
+    c = F.col
+    order = selection.candidate_order(c("data_source"), c("evidence_grade"), c("support_recall"), c("grounded"), c("repeated"), c("searches"), c("shown"), c("episode"))
+    r = _v3(spark, d).withColumn("bucket", _bucket("searches")).withColumn("question", F.split_part("episode", F.lit("-"), F.lit(1)).cast("long"))
+    return sampling.best_of_group(r, ["question", "bucket"], order).select("question", "bucket", "episode")
+
+
+@query(_R3 + ", g AS (SELECT u % 7 AS model, round(avg(exact_match), 9) AS em, round(avg(f1), 9) AS f1, round(avg(no_progress), 9) AS stalls, round(avg(CAST(format_compliant AS INT)), 9) AS form, round(avg(CAST(termination = 'search_limit' AS INT)), 9) AS limits FROM r3 GROUP BY 1) SELECT model, em, f1, CAST(row_number() OVER (ORDER BY em DESC, f1 DESC, stalls, form DESC, limits, model) AS INT) AS rank FROM g")
+def model_ranking(spark, d):
+    """Checkpoints by the six keys of their summaries; groups of users stand in for models."""
+    mean = lambda c: F.round(F.avg(c.cast("double")), 9)
+    r = _v3(spark, d).groupBy((F.split_part("episode", F.lit("-"), F.lit(1)).cast("long") % 7).alias("model"))
+    g = r.agg(mean(F.col("exact_match")).alias("em"), mean(F.col("f1")).alias("f1"), mean(F.col("no_progress")).alias("mean_no_progress_searches"), mean(F.col("format_compliant")).alias("format_compliance_rate"), mean(F.col("termination") == "search_limit").alias("search_limit_rate"))
+    return selection.ranked_models(g).select("model", "em", "f1", "rank")

@@ -96,6 +96,14 @@ def em_f1_pairs(spark, d):
     return t.select("conv_id", "turn", text.exact_match(a, F.array(g)).alias("em_v3"), text.exact_match(a, F.array(g), guard=False).alias("em_v0"), F.round(text.token_f1(a, g), 9).alias("f1_v3"), F.round(text.token_f1(a, g, 1.0), 9).alias("f1_v0"))
 
 
+@query("SELECT count(*) AS n, round(avg(CAST(em_v0 AS INT)), 9) AS em_v0, round(avg(CAST(em_v3 AS INT)), 9) AS em_v3, round(avg(CAST(em_v3 AS INT) - CAST(em_v0 AS INT)), 9) AS em_change, round(avg(f1_v3 - f1_v0), 9) AS f1_change, count(*) FILTER (em_v0 AND NOT em_v3) AS lost FROM (" + ORACLE_SQL["em_f1_pairs"] + ")")
+def rescoring(spark, d):
+    """What the later scorer, in which empty matches nothing, changes of the first one's figures."""
+    r = em_f1_pairs(spark, d)
+    number = lambda c: F.col(c).cast("int")
+    return r.agg(F.count("*").alias("n"), F.round(F.avg(number("em_v0")), 9).alias("em_v0"), F.round(F.avg(number("em_v3")), 9).alias("em_v3"), F.round(F.avg(number("em_v3") - number("em_v0")), 9).alias("em_change"), F.round(F.avg(F.col("f1_v3") - F.col("f1_v0")), 9).alias("f1_change"), F.count_if(F.col("em_v0") & ~F.col("em_v3")).alias("lost"))
+
+
 _Z2 = stats.Z * stats.Z
 
 
@@ -276,10 +284,9 @@ f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 s AS (SELECT query_id, p.doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf / (tf + 0.9 * (1 - 0.4 + 0.4 * length / mean))), 6) AS score FROM q JOIN p USING (term) JOIN f USING (term) JOIN l ON l.doc_id = p.doc_id, n GROUP BY query_id, p.doc_id)
 SELECT query_id, doc_id, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 3""")
 def bm25_top3(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    lengths = docs.select(F.size(text.tokens(F.col("text"))).alias("length")).where("length > 0")
+    index = retrieval.build_index(table(spark, d, "documents").select("doc_id", "text"))
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.search(retrieval.postings(docs), lengths, queries).select("query_id", "doc_id", "rank")
+    return retrieval.search(index, queries).select("query_id", "doc_id", "rank")
 
 
 # Whole texts as think and content.
