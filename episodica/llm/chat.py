@@ -49,7 +49,7 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history_turns: int =
     A first turn by ``system`` is kept at the head of all windows. Turns are in order of turn (null first), then
     role and text; repeated rows are turns of their own. Null roles and texts are empty; null conv_ids are
     one conversation. An empty table gives no rows. A conversation's windows are made by window functions that
-    spill to disk; each window is bounded by the budget.
+    spill to disk; each window is bounded by the budget. Very long texts stand alone in a window. Other columns, also of clashing names, are not read.
     """
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     sofar = order.rowsBetween(Window.unboundedPreceding, 0)

@@ -112,7 +112,9 @@ def fingerprint_documents(docs: DataFrame, size: int = SIZE, range_rows: int = R
     also sent to the end of the range before it, so no range needs another.
 
     Null texts are empty; an empty text has no phrases: it is 1 like another empty one and 0 like any other. A
-    table of one row is its own next. Repeated rows follow each other. An empty table gives no rows.
+    table of one row is its own next. Repeated rows follow each other. An empty table gives no rows. A very long text
+    is parsed whole by one task, which holds its phrases; the phrases of two documents at most are held at a time.
+    All rows of one doc_id, and all without one, are read by one task, in a stream sorted on disk. Other columns, also of clashing names, are not read.
     """
     spark = docs.sparkSession
     least = -(1 << 63)

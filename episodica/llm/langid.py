@@ -178,7 +178,8 @@ def predict_languages(docs: DataFrame, language_rows: int = LANGUAGE_ROWS, sampl
 
     ``score``: the family's certainty times that of the language within it. A text that is null or has no letter
     is ``und`` with score 0, and so is every text if nothing is labelled. A null doc_id is kept; repeated rows
-    give repeated rows; an empty table gives none.
+    give repeated rows; an empty table gives none. Very long texts are read whole, each by itself; what is kept of
+    one is its counts. Other columns, also of clashing names, are not read.
     """
     rows = pick(docs, "doc_id", "text", "lang")
     model = train(rows, language_rows, sample_rows)

@@ -196,7 +196,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
     template, else 0.
 
     Null and empty texts have no words and no labels. A null doc_id is kept; repeated rows give repeated rows;
-    an empty table gives none. Very long texts are read whole.
+    an empty table gives none. Very long texts are read whole. Other columns, also of clashing names, are not read.
     """
     templates = tuple(templates)
     if len(templates) > MOST_TEMPLATES:

@@ -7,8 +7,9 @@ take it, and only then reaches their parent's siblings. The shares have a closed
 supply over weight, prefix sums), so each level is one window over a table with a row for each leaf.
 
 A leaf's documents are in an order seeded anew for each epoch; the leaf takes whole epochs, then the
-prefix of one more, by tokens. The prefix is found by sums over buckets of the order, so that a leaf of
-any size is spread over many tasks; only ids and counts are shuffled.
+prefix of one more, by tokens. Places in the order are found by sums over buckets of it, so that a leaf of
+any size is spread over many tasks; only ids and counts are shuffled. A token is a word here, as words are the
+unit of the budgets: they need no vocabulary.
 """
 
 from __future__ import annotations

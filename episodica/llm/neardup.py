@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     ``kept``: the document has that id; ``n_shingles``: its set's size.
 
     Rows of one doc_id count as one document with several texts. A row without doc_id is linked with nothing: its
-    component_id is null and it is kept. An empty table gives no rows. Very long texts are read whole.
+    component_id is null and it is kept. An empty table gives no rows. Very long texts are read whole. Other columns, also of clashing names, are not read.
     """
     rows = pick(docs, "doc_id", "text")
     marked = written(signatures(rows, words), "neardup-signatures")

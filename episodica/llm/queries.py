@@ -71,4 +71,46 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_token_counts, op3_quality_rules, op4_language_id, op5_chat_formatting, op6_mixing, op7_sharding, op8_packing, op9_license_scans, op10_near_duplicates)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: How many words a repeated window has, in the quality rules, and the SQL of its words from the one at hand on.
+_WINDOWS = (3, 5, 7, 10)
+
+
+def _window(n: int) -> str:
+    words = ", ".join(["w", *(f"lead(w, {k}) OVER o" for k in range(1, n))])
+    return f"CASE WHEN lead(w, {n - 1}) OVER o IS NOT NULL THEN concat_ws(' ', {words}) END AS g{n}"
+
+
+_SPACE = "\\x20\\x09-\\x0D"
+_ROWS = "PARTITION BY doc_id ORDER BY p"
+_OP3 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, regexp_extract_all(text, '[^{_SPACE}]+') AS ws FROM d), w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM l),
+g AS (SELECT doc_id, p, length(w) AS c, {', '.join(map(_window, _WINDOWS))} FROM w WINDOW o AS ({_ROWS})),
+m AS (SELECT doc_id, p, c, g3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g3) > 1 AS m3, {', '.join(f'g{n} IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, g{n} ORDER BY p) > 1 AS m{n}' for n in _WINDOWS[1:])} FROM g),
+h AS (SELECT doc_id, c, {', '.join(f'bool_or(m{n}) OVER ({_ROWS} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS h{n}' for n in _WINDOWS)} FROM m),
+a AS (SELECT doc_id, count(*) AS n_words, CAST(sum(c) AS BIGINT) AS word_chars, count(*) FILTER (h3) AS n_repeat_words, {', '.join(f'CAST(coalesce(sum(c) FILTER (h{n}), 0) AS BIGINT) AS ngram{n}_chars' for n in _WINDOWS[1:])} FROM h GROUP BY doc_id),
+x AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d)),
+y AS (SELECT doc_id, length(regexp_replace(line, '[{_SPACE}]+', '', 'g')) AS c, row_number() OVER (PARTITION BY doc_id, line ORDER BY p) > 1 AS again FROM x),
+b AS (SELECT doc_id, count(*) FILTER (again AND c > 0) AS n_dup_lines, CAST(coalesce(sum(c) FILTER (again), 0) AS BIGINT) AS line_chars FROM y GROUP BY doc_id),
+r AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, line_chars, {', '.join(f'coalesce(ngram{n}_chars, 0) AS ngram{n}_chars' for n in _WINDOWS[1:])} FROM d LEFT JOIN a USING (doc_id) JOIN b USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND line_chars <= 0.20 * word_chars AND ngram5_chars <= 0.15 * word_chars AND ngram7_chars <= 0.13 * word_chars AND ngram10_chars <= 0.10 * word_chars AS kept FROM r"""
+
+# The law by itself, without ranges: records in order of their texts' digests; the checksum byte by byte, by its table.
+_OP7 = """WITH c AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, CAST(i AS BIGINT))) AS t),
+k AS (SELECT doc_id, md5(coalesce(text, '')) AS digest, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, string_split(hex(encode(coalesce(text, ''))), '') AS h FROM documents),
+s AS (SELECT doc_id, digest, size, sum(size) OVER (ORDER BY digest, doc_id NULLS LAST ROWS UNBOUNDED PRECEDING) - size AS start, sum(size) OVER () AS total,
+xor(list_reduce(list_transform(range(1, 2 * size - 2, 2), lambda i: 16 * (strpos('0123456789ABCDEF', h[i]) - 1) + strpos('0123456789ABCDEF', h[i + 1]) - 1), lambda v, b: xor(v >> 8, t[CAST(xor(v, b) & 255 AS INT) + 1]), 4294967295), 4294967295) AS text_crc32 FROM k, c),
+g AS (SELECT *, min(start) OVER (PARTITION BY digest) AS first, sum(size) OVER (PARTITION BY digest) AS whole FROM s),
+p AS (SELECT *, CAST(least(15, (CASE WHEN whole <= 0.02 * total / 16 THEN 2 * first + whole ELSE 2 * start + size END) * 16 // (2 * total)) AS INT) AS shard FROM g)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY digest, doc_id NULLS LAST) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM p"""
+
+# All pairs of different sets whose sizes allow a link, and the closure of the links.
+_OP10 = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{_SPACE}]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS s FROM w),
+c AS (SELECT *, len(s) AS n, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS class FROM s),
+r AS (SELECT class, n, list_transform(s, lambda x: hash(x)) AS s FROM c WHERE doc_id = class AND n > 0),
+e AS (SELECT a.class AS a, b.class AS b FROM r a JOIN r b ON a.class <> b.class AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) AND 180 * len(list_intersect(a.s, b.s)) >= 80 * (a.n + b.n)),
+t(id, reached) AS (SELECT DISTINCT a, a FROM e UNION SELECT t.id, e.b FROM t JOIN e ON e.a = t.reached),
+m AS (SELECT id, min(reached) AS low FROM t GROUP BY id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(low, class) AS component_id, doc_id = coalesce(low, class) AS kept FROM c LEFT JOIN m ON m.id = c.class"""
+
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": _OP3, "op7_sharding": _OP7, "op10_near_duplicates": _OP10}

@@ -140,7 +140,7 @@ def repetition_quality(docs: DataFrame, ngram_limits: dict[int, float] = NGRAM_L
     characters above its limit.
 
     Null and empty texts have no words, so they fail. A null doc_id is kept; repeated rows give repeated rows; an
-    empty table gives none. Very long texts are measured whole.
+    empty table gives none. Very long texts are measured whole. Other columns, also of clashing names, are not read.
     """
     def make():
         def f(batch):

@@ -12,12 +12,12 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from oracle import DATA
+from oracle import DATA, duck, rows
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from episodica.llm import chat, fingerprints, langid, licenses, mixing, neardup, packing, repetition, sharding, tokencount
-from episodica.llm.queries import QUERIES
+from episodica.llm.queries import ORACLE_SQL, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 OPERATORS = {
@@ -63,6 +63,30 @@ def test_odd_rows(spark, odd, name):
     assert OPERATORS[name](odd.limit(0)).count() == 0
 
 
+def test_odd_values(spark, odd):
+    """What the operators say of null, blank, long, repeated and odd texts, row by row."""
+    texts = defaultdict(list)
+    for r in odd_rows():
+        texts[r[0]].append(r[1] or "")
+    byte, word = (Tokenizer.from_file(public_tokenizers.path(x)) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+
+    def same(name, columns, of):
+        got, want = defaultdict(list), {}
+        for r in OPERATORS[name](odd).collect():
+            if name != "packs" or r["start"] == 0:
+                got[r["doc_id"]].append(tuple(r[c] for c in columns))
+        for i, found in texts.items():
+            want[i] = sorted(map(of, found))
+        assert {i: sorted(x) for i, x in got.items()} == want, name
+
+    same("tokens", ("n_bytes", "n_tokens"), lambda t: (len(t.encode()), len(byte.encode(t, add_special_tokens=False).ids)))
+    same("packs", ("doc_tokens",), lambda t: (len(word.encode(t, add_special_tokens=False).ids) + 1,))
+    same("quality", ("n_words", "word_chars"), lambda t: (len(w := re.findall("[^\x20\x09-\x0d]+", t)), sum(map(len, w))))
+    same("licenses", ("n_words", "n_base"), lambda t: (len(w := re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.lower())), sum(w[k : k + 2] == ["mit", "license"] for k in range(len(w)))))
+    same("shards", ("size", "text_crc32"), lambda t: (len(t.encode()) + 1, zlib.crc32(t.encode())))
+    same("fingerprints", ("n_chars",), lambda t: (len(t),))
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
@@ -72,6 +96,12 @@ def collected(spark, name):
     return QUERIES[name](spark, DATA).collect()
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_matches_sql(spark, name):
+    got, want = QUERIES[name](spark, DATA).toPandas(), duck(ORACLE_SQL[name])
+    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
 def test_fingerprints(spark, docs):
     found = {r["doc_id"]: r for r in collected(spark, "op1_fingerprints")}
     ids = sorted(docs)
@@ -98,6 +128,44 @@ def phrases(text):
     return out
 
 
+def plain_mark(text):
+    """The 128 smallest phrase hashes, in plain integers."""
+    top, base, out, i = (1 << 64) - 1, 0x9E3779B97F4A7C15, set(), 0
+    for end in phrases(text):
+        h, power = 0, 1
+        for c in text[i:end]:
+            x = ord(c) * 0xBF58476D1CE4E5B9 & top
+            h = (h + (x ^ x >> 31) * power) & top
+            power = power * base & top
+        h ^= h >> 32
+        h = h * 0xD6E8FEB86659FD93 & top
+        h ^= h >> 29
+        h = (h + (end - i) * 0xA0761D6478BD642F) & top
+        out.add((h * 0x94D049BB133111EB & top) >> 32)
+        i = end
+    return sorted(out)[:128]
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+    both = sorted({*a, *b})[:128]
+    return sum(x in set(a) and x in set(b) for x in both) / len(both)
+
+
+def test_fingerprints_by_plain_integers(spark, docs):
+    import base64
+
+    found = {r["doc_id"]: r for r in collected(spark, "op1_fingerprints")}
+    ids = sorted(docs)
+    for a, b in list(zip(ids, ids[1:] + ids[:1], strict=True))[::5]:
+        t, cut = docs[a], len(docs[a]) // 4
+        own, edited, following = plain_mark(t), plain_mark(t[: len(t) - cut] + docs[b][:cut]), plain_mark(docs[b])
+        assert np.frombuffer(base64.b64decode(found[a]["fingerprint"]), "<u4").tolist() == own
+        assert np.frombuffer(base64.b64decode(found[a]["edited_fingerprint"]), "<u4").tolist() == edited
+        assert (found[a]["near_edited"], found[a]["near_next"]) == (plain_likeness(own, edited), plain_likeness(own, following))
+
+
 def test_parse(docs):
     assert all(fingerprints.parse(t, set()) == phrases(t) for t in [*docs.values(), "", "aaaaaaa", "abababab"])
 
