@@ -50,7 +50,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select_mix(table(spark, sf_dir, "documents"), weights=MIX_WEIGHTS)
+    return select_mix(table(spark, sf_dir, "documents"), weights=MIX_WEIGHTS).drop("row")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,11 +94,40 @@ b AS (SELECT doc_id, count(*) FILTER (again AND c > 0) AS n_dup_lines, CAST(coal
 r AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, line_chars, {', '.join(f'coalesce(ngram{n}_chars, 0) AS ngram{n}_chars' for n in _WINDOWS[1:])} FROM d LEFT JOIN a USING (doc_id) JOIN b USING (doc_id))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND line_chars <= 0.20 * word_chars AND ngram5_chars <= 0.15 * word_chars AND ngram7_chars <= 0.13 * word_chars AND ngram10_chars <= 0.10 * word_chars AS kept FROM r"""
 
-# The law by itself, without ranges: records in order of their texts' digests; the checksum byte by byte, by its table.
-_OP7 = """WITH c AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, CAST(i AS BIGINT))) AS t),
+_CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, CAST(i AS BIGINT))) AS t"
+
+
+def _crc(h: str, n: str) -> str:
+    """The checksum of n bytes, whose hex digits are in the list h, by the table t."""
+    byte = f"16 * (strpos('0123456789ABCDEF', {h}[i]) - 1) + strpos('0123456789ABCDEF', {h}[i + 1]) - 1"
+    return f"xor(list_reduce(list_transform(range(1, 2 * ({n}), 2), lambda i: {byte}), lambda v, b: xor(v >> 8, t[CAST(xor(v, b) & 255 AS INT) + 1]), 4294967295), 4294967295)"
+
+
+def _shares(level: int) -> str:
+    """CTEs that share the budgets of a level's parents among its nodes: all below the water line get what they have."""
+    path = ("domain", "lang", "source")[: level + 1]
+    own, up = ", ".join(path), "PARTITION BY " + (", ".join(path[:-1]) or "1")
+    weight = "CASE " + path[-1] + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in MIX_WEIGHTS.items()) + " ELSE 1.0 END"
+    order = f"{up} ORDER BY supply / w, {own}"
+    return f"""n{level} AS (SELECT {own}, sum(supply) AS supply, any_value(budget) AS budget, CAST({weight} AS DOUBLE) AS w FROM b{level} GROUP BY {own}),
+l{level} AS (SELECT *, (budget - coalesce(sum(supply) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS line FROM n{level}),
+s{level} AS (SELECT {own}, least(supply, w * max(line) OVER ({up})) AS share FROM l{level}),
+b{level + 1} AS (SELECT domain, lang, source, tokens, supply, share AS budget FROM b{level} JOIN s{level} USING ({own}))"""
+
+
+_LEAF = "domain, lang, source"
+_OP6 = f"""WITH c AS ({_CRC_TABLE}), x AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, string_split(hex(encode(coalesce(source, ''))), '') AS h, octet_length(encode(coalesce(source, ''))) AS bytes, len(regexp_extract_all(coalesce(text, ''), '[^{_SPACE}]+')) AS n_tokens FROM documents),
+d AS (SELECT doc_id, 'domain' || {_crc('h', 'bytes')} % 4 AS domain, lang, source, n_tokens FROM x, c),
+b0 AS (SELECT {_LEAF}, sum(n_tokens) AS tokens, 2 * sum(n_tokens) AS supply, floor(sum(sum(n_tokens)) OVER () * 0.6) AS budget FROM d GROUP BY {_LEAF}),
+{_shares(0)}, {_shares(1)}, {_shares(2)},
+f AS (SELECT {_LEAF}, tokens, CAST(floor(budget + 1e-6) AS BIGINT) AS leaf_budget FROM b3),
+e AS (SELECT d.*, leaf_budget, tokens, CAST(epoch AS INT) AS epoch, CAST(epoch * tokens + coalesce(sum(n_tokens) OVER (PARTITION BY {_LEAF}, epoch ORDER BY md5('20240:' || epoch || ':' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS position FROM d JOIN f USING ({_LEAF}), range(2) r(epoch))
+SELECT doc_id, {_LEAF}, n_tokens, epoch, position, CAST(least(n_tokens, leaf_budget - position) AS BIGINT) AS take_tokens, leaf_budget FROM e WHERE position < leaf_budget OR tokens > 0 AND epoch < leaf_budget // tokens"""
+
+# The law by itself, without ranges: records in order of their texts' digests.
+_OP7 = f"""WITH c AS ({_CRC_TABLE}),
 k AS (SELECT doc_id, md5(coalesce(text, '')) AS digest, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, string_split(hex(encode(coalesce(text, ''))), '') AS h FROM documents),
-s AS (SELECT doc_id, digest, size, sum(size) OVER (ORDER BY digest, doc_id NULLS LAST ROWS UNBOUNDED PRECEDING) - size AS start, sum(size) OVER () AS total,
-xor(list_reduce(list_transform(range(1, 2 * size - 2, 2), lambda i: 16 * (strpos('0123456789ABCDEF', h[i]) - 1) + strpos('0123456789ABCDEF', h[i + 1]) - 1), lambda v, b: xor(v >> 8, t[CAST(xor(v, b) & 255 AS INT) + 1]), 4294967295), 4294967295) AS text_crc32 FROM k, c),
+s AS (SELECT doc_id, digest, size, sum(size) OVER (ORDER BY digest, doc_id NULLS LAST ROWS UNBOUNDED PRECEDING) - size AS start, sum(size) OVER () AS total, {_crc('h', 'size - 1')} AS text_crc32 FROM k, c),
 g AS (SELECT *, min(start) OVER (PARTITION BY digest) AS first, sum(size) OVER (PARTITION BY digest) AS whole FROM s),
 p AS (SELECT *, CAST(least(15, (CASE WHEN whole <= 0.02 * total / 16 THEN 2 * first + whole ELSE 2 * start + size END) * 16 // (2 * total)) AS INT) AS shard FROM g)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY digest, doc_id NULLS LAST) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM p"""
@@ -113,4 +142,4 @@ t(id, reached) AS (SELECT DISTINCT a, a FROM e UNION SELECT t.id, e.b FROM t JOI
 m AS (SELECT id, min(reached) AS low FROM t GROUP BY id)
 SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(low, class) AS component_id, doc_id = coalesce(low, class) AS kept FROM c LEFT JOIN m ON m.id = c.class"""
 
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": _OP3, "op7_sharding": _OP7, "op10_near_duplicates": _OP10}
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": _OP3, "op6_mixing": _OP6, "op7_sharding": _OP7, "op10_near_duplicates": _OP10}
