@@ -346,27 +346,13 @@ def title_coverage(spark, d):
     return c.select("l_orderkey", "c.gold", F.array_join("c.matched", ",").alias("matched"), F.round("c.recall", 9).alias("recall"))
 
 
-@query(f"""WITH t AS (SELECT conv_id, turn, string_split(coalesce(text, ''), '. ') AS s, turn % 3 - 1 AS i, {_norm("left(coalesce(text, ''), 60)")} AS seen FROM conversations),
-p AS (SELECT conv_id, turn, s[CASE WHEN i < 0 THEN i ELSE i + 1 END] AS s, seen FROM t WHERE len(s) > i),
-q AS (SELECT conv_id, turn % 2 = 0 AND contains(seen, {_norm('s')}) AS hit FROM p WHERE {_norm('s')} <> '')
-SELECT conv_id, coalesce(n, 0) AS gold, coalesce(h, 0) AS visible, round(h * 1.0 / n, 9) AS recall FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN (SELECT conv_id, count(*) AS n, count(*) FILTER (hit) AS h FROM q GROUP BY conv_id) USING (conv_id)""")
-def sentence_visibility(spark, d):
-    c = F.coalesce("text", F.lit(""))
-    title = F.concat(F.lit("Turn "), F.col("turn").cast("string"))
-    t = table(spark, d, "conversations").select("conv_id", F.struct("turn", title.alias("title"), F.split(c, r"\. ").alias("sentences"), (F.col("turn") % 3 - 1).alias("at"), F.left(c, F.lit(60)).alias("text")).alias("x"))
-    t = t.groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    context = F.transform("x", lambda x: F.struct(x["title"].alias("title"), x["sentences"].alias("sentences")))
-    visible = F.transform(F.filter("x", lambda x: x["turn"] % 2 == 0), lambda x: F.struct(F.upper(x["title"]).alias("title"), x["text"].alias("text")))
-    return t.select("conv_id", evidence.sentence_visibility(F.col("x.title"), F.col("x.at"), context, visible).alias("v")).select("conv_id", "v.gold", "v.visible", F.round("v.recall", 9).alias("recall"))
-
-
 @query(f"""WITH t AS (SELECT conv_id, turn, string_split(coalesce(text, ''), '. ') AS s, turn % 3 - 1 AS i, {_norm("coalesce(text, '')")} AS seen FROM conversations),
 p AS (SELECT conv_id, turn, s[CASE WHEN i < 0 THEN i ELSE i + 1 END] AS s, seen FROM t WHERE len(s) > i),
 q AS (SELECT conv_id, turn % 2 = 0 AND contains(seen, {_norm('s')}) AS hit FROM p WHERE {_norm('s')} <> '')
 SELECT conv_id, coalesce(n, 0) AS gold, coalesce(h, 0) AS visible, round(h * 1.0 / n, 9) AS recall FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN (SELECT conv_id, count(*) AS n, count(*) FILTER (hit) AS h FROM q GROUP BY conv_id) USING (conv_id)""")
-def sentence_visibility_whole(spark, d):
-    """As ``sentence_visibility``, with the whole text of a visible turn. Titles are turns, so each turn is looked up
-    in itself and a long conversation is only a sum."""
+def sentence_visibility(spark, d):
+    """Gold sentences in the whole text of a visible turn. Titles are turns, so each turn is looked up in itself and a
+    long conversation is only a sum."""
     c = F.coalesce("text", F.lit(""))
     title = F.concat(F.lit("Turn "), F.col("turn").cast("string"))
     context = F.array(F.struct(title.alias("title"), F.split(c, r"\. ").alias("sentences")))

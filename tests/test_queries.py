@@ -92,7 +92,7 @@ def test_parse_actions_of_whole_texts(spark, tmp_path):
 
 def test_visible_sentences_after_the_first_sixty_characters(spark, tmp_path):
     turns = ["One. Two.", "One. Two.", f"{'long ' * 20}. Second one. Last", f"{'long ' * 20}. x. Late one, here", f"{'long ' * 20}. Second. Last"]
-    got = QUERIES["sentence_visibility_whole"](spark, conversations(spark, tmp_path, turns)).collect()
+    got = QUERIES["sentence_visibility"](spark, conversations(spark, tmp_path, turns)).collect()
     assert [tuple(r) for r in got] == [(1, 5, 3, 0.6)]
 
 
