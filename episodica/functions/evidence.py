@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import fingerprint, let, normalize
+from .text import let, normalize, title_key
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -16,7 +16,7 @@ def share(part: Column, whole: Column) -> Column:
 def title_coverage(gold: Column, visible: Column) -> Column:
     """struct(gold, matched, recall) of two arrays of titles, alike up to case and white space. Blank gold
     titles do not count; a null array is an empty one."""
-    keys = lambda c: F.array_distinct(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda t: fingerprint(F.coalesce(t, F.lit("")))))
+    keys = lambda c: F.array_distinct(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda t: title_key(F.coalesce(t, F.lit("")))))
     pair = F.struct(F.array_remove(keys(gold), "").alias("gold"), keys(visible).alias("seen"))
 
     def count(x: Column) -> Column:
@@ -35,13 +35,13 @@ def sentence_visibility(titles: Column, sentence_ids: Column, context: Column, v
     """
     none = F.lit(None).cast("string")
     n = F.least(F.size(titles), F.size(sentence_ids))
-    pairs = F.zip_with(F.slice(titles, 1, n), F.slice(sentence_ids, 1, n), lambda t, i: F.struct(fingerprint(t).alias("key"), i.alias("at")))
+    pairs = F.zip_with(F.slice(titles, 1, n), F.slice(sentence_ids, 1, n), lambda t, i: F.struct(title_key(t).alias("key"), i.alias("at")))
 
     def found(p: Column) -> Column:
-        sentences = F.try_element_at(F.filter(context, lambda c: fingerprint(c["title"]) == p["key"]), F.lit(-1))["sentences"]
+        sentences = F.try_element_at(F.filter(context, lambda c: title_key(c["title"]) == p["key"]), F.lit(-1))["sentences"]
         place = F.when(p["at"] < 0, F.size(sentences) + p["at"]).otherwise(p["at"]).cast("int")
         sentence = F.coalesce(normalize(F.when(place >= 0, F.get(sentences, place))), none)
-        text = normalize(F.array_join(F.transform(F.filter(visible, lambda v: fingerprint(v["title"]) == p["key"]), lambda v: v["text"]), " "))
+        text = normalize(F.array_join(F.transform(F.filter(visible, lambda v: title_key(v["title"]) == p["key"]), lambda v: v["text"]), " "))
         return F.struct(sentence.alias("s"), text.contains(sentence).alias("hit"))
 
     gold = F.filter(F.transform(pairs, found), lambda x: F.coalesce(x["s"], F.lit("")) != "")

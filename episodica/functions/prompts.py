@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import parse_action, restore_think, strip
+from .text import parse_action, strip
 
 
 def render(template: str, question: Column) -> Column:
@@ -54,11 +54,6 @@ def event_error(kind: Column, text: Column) -> Column:
     )
 
 
-def canonical(text: Column) -> Column:
-    """A turn with its think opener, trimmed."""
-    return strip(restore_think(text))
-
-
 #: What the first two protocols tell the model.
 TASK = "Answer the question using the search tool when needed. Reason inside <think>...</think>. To search, emit exactly <search>query</search>; after each search you will receive <information>...</information>. Finish with exactly <answer>final answer</answer>.\nQuestion: "
 NOTHING_NEW = "No new information was retrieved. Use the available evidence to answer, or issue a different search query."

@@ -38,6 +38,12 @@ def fingerprint(c: Column) -> Column:
     return collapse(F.lower(c))
 
 
+def title_key(c: Column) -> Column:
+    """Titles that differ in case alone are one, also in the letters that lower case leaves apart: final sigma, long and
+    sharp s. (Ligatures and Greek letters with more than one mark stay as they are.)"""
+    return collapse(F.replace(F.translate(F.lower(c), "\u03c2\u017f", "\u03c3s"), F.lit("\u00df"), F.lit("ss")))
+
+
 def question_hash(c: Column) -> Column:
     return F.sha2(normalize(c).cast("binary"), 256)
 

@@ -135,7 +135,7 @@ def rows_in_wrong_shard(spark, d):
 @query("SELECT event_id, CAST(2 AS BIGINT) AS n FROM events WHERE event_id % 97 = 0")
 def shard_union_duplicates(spark, d):
     e, i = table(spark, d, "events").select("event_id"), F.col("event_id")
-    shards = [e.where((i % 4 == k) | (F.lit(k == 0) & (i % 97 == 0) & (i % 4 != 0)) | (F.lit(k == 1) & (i % 388 == 0))) for k in range(4)]
+    shards = [e.where(manifest.in_shard(i, 4, k) | (F.lit(k == 0) & (i % 97 == 0) & (i % 4 != 0)) | (F.lit(k == 1) & (i % 388 == 0))) for k in range(4)]
     return integrity.union_of_shards(shards, "event_id")[1]
 
 

@@ -405,6 +405,23 @@ def train_eval_split(spark, d):
     return selection.split(rows, ["lang", "source"], "doc_id", n * 6 // 10, n // 10, 5).select("doc_id", "split")
 
 
+def _cell_sql(name: str, total: int, where: str) -> str:
+    return f"""{name}_x AS (SELECT lang, {total} * (count(*) / CAST(sum(count(*)) OVER () AS DOUBLE)) AS x FROM pool WHERE {where} GROUP BY lang),
+{name}_q AS (SELECT lang, floor(x) + CASE WHEN row_number() OVER (ORDER BY x - floor(x) DESC, lang) <= {total} - sum(floor(x)) OVER () THEN 1 ELSE 0 END AS quota FROM {name}_x),
+{name} AS (SELECT doc_id, question, bucket FROM (SELECT p.*, quota, row_number() OVER (PARTITION BY p.lang ORDER BY n_chars, doc_id) AS k FROM pool p JOIN {name}_q q ON p.lang = q.lang WHERE {where}) WHERE k <= quota)"""
+
+
+@query(f"""WITH pool AS (SELECT doc_id, doc_id // 3 AS question, CASE doc_id % 3 WHEN 0 THEN 'one' WHEN 1 THEN 'three_plus' ELSE 'two' END AS bucket, lang, n_chars FROM documents WHERE lang IS NOT NULL),
+{_cell_sql('a', 25, "bucket = 'one'")}, {_cell_sql('b', 15, "bucket = 'three_plus' AND question NOT IN (SELECT question FROM a)")}, {_cell_sql('c', 10, "bucket = 'two' AND question NOT IN (SELECT question FROM a UNION ALL SELECT question FROM b)")}
+SELECT doc_id, question, bucket FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""")
+def greedy_cells(spark, d):
+    """Cells one after the other: a question that one took is out of the later ones."""
+    k = F.col("doc_id") % 3
+    pool = table(spark, d, "documents").where("lang is not null").select("doc_id", F.floor(F.col("doc_id") / 3).alias("question"), F.when(k == 0, "one").when(k == 1, "three_plus").otherwise("two").alias("bucket"), "lang", "n_chars")
+    chosen = selection.fill_cells(pool, ["bucket"], "question", ["lang"], ["n_chars", "doc_id"], {("one",): 25, ("three_plus",): 15, ("two",): 10})
+    return chosen.select("doc_id", "question", "bucket")
+
+
 _CELL_SHARES = {"user": 0.55, "assistant": 0.45}
 
 

@@ -62,6 +62,8 @@ def test_title_coverage(spark):
     row = spark.createDataFrame([(["A  b", "a B", " ", "c"], ["a b", None])], "g array<string>, v array<string>")
     got = row.select(evidence.title_coverage(F.col("g"), F.col("v")).alias("x")).first()["x"]
     assert (got["gold"], got["matched"], got["recall"]) == (2, ["a b"], 0.5)
+    sharp = row.select(evidence.title_coverage(F.array(F.lit("STRASSE"), F.lit("ΟΔΟΣ")), F.array(F.lit("Straße"), F.lit("οδος"))).alias("x")).first()["x"]
+    assert sharp["recall"] == 1.0
     none = row.select(evidence.title_coverage(F.lit(None).cast("array<string>"), F.col("v")).alias("x")).first()["x"]
     assert (none["gold"], none["recall"]) == (0, None)
 
