@@ -334,7 +334,8 @@ def observation_budget(spark, d):
     r = selection.ranked(docs, ["source"], "id", 3).withColumn("part", F.floor((F.col("rank") - 1) / 3))
     top = r.groupBy("source", "part").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "text"))).alias("x"))
     o = observation.observation_column(F.transform("x.doc_id", lambda i: i.cast("string")), F.col("x.text"))
-    return top.select("source", "part", o.alias("o")).select("source", "part", "o.*")
+    o = top.select("source", "part", o.alias("o"))
+    return o.select("source", "part", "o.text", "o.tokens", "o.truncated", F.size("o.documents").alias("documents"), "o.error")
 
 
 @query("""WITH t AS (SELECT l_orderkey, coalesce(list(DISTINCT 'part ' || l_partkey % 40) FILTER (l_linenumber <= 3), []) AS g, coalesce(list(DISTINCT 'part ' || l_partkey % 40) FILTER (l_linenumber >= 2), []) AS v FROM lineitem GROUP BY l_orderkey)
