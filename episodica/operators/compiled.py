@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import prompts, text
-from .observation import Characters, Tokenizer
+from .observation import Characters, Tokenizer, by_rows
 from .sampling import quantiles
 
 SEQUENCE_TOKENS = 8192
@@ -74,19 +75,20 @@ def compile_pieces(texts: Sequence[str], learnt: Sequence[bool], tokenizer: Toke
     return ids, labels, ends, "sequence_overflow" if len(ids) > limit else "empty_supervision" if all(x == ignored for x in labels) else None
 
 
+ENCODED = T.StructType([*(T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("input_ids", "labels", "ends")), T.StructField("error", T.StringType())])
+
+
 def compiled(parts: Column, tokenizer: Tokenizer | None = None, limit: int = SEQUENCE_TOKENS, ignored: int = IGNORED) -> Column:
     """struct(input_ids, attention_mask, labels, token_count, supervised_token_count, spans, error) of pieces. Errors, with null
     for all else: segment_tokenization_mismatch (the pieces' tokens are not those of the whole text),
     sequence_overflow and empty_supervision."""
     tok = tokenizer or Characters()
 
-    @F.pandas_udf("struct<input_ids: array<int>, labels: array<int>, ends: array<int>, error: string>")
-    def encode(texts: pd.Series, learnt: pd.Series) -> pd.DataFrame:
-        found = [compile_pieces(list(t), list(x), tok, limit, ignored) for t, x in zip(texts, learnt, strict=True)]
-        rows = [(None, None, None, r[3]) if r[3] else r for r in found]
-        return pd.DataFrame({c: pd.Series([r[k] for r in rows], dtype=object) for k, c in enumerate(("input_ids", "labels", "ends", "error"))})
+    def encode(texts: list, learnt: list) -> tuple:
+        *numbers, error = compile_pieces(texts, learnt, tok, limit, ignored)
+        return (None, None, None, error) if error else (*(np.array(x, np.int32) for x in numbers), None)
 
-    c = encode(F.transform(parts, lambda p: p["text"]), F.transform(parts, lambda p: p["supervised"]))
+    c = by_rows(encode, ENCODED)(F.transform(parts, lambda p: p["text"]), F.transform(parts, lambda p: p["supervised"]))
 
     def whole(x: Column) -> Column:
         ok = x["error"].isNull()

@@ -5,14 +5,19 @@ A tokenizer is anything with ``encode(text) -> list[int]`` and ``decode(ids) ->
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 OBSERVATION_TOKENS, TOP = 768, 3
+#: Rows, and characters in them, that a Python worker has as objects at once. A longer row comes alone.
+SLICE_ROWS, SLICE_CHARS = 256, 1 << 18
 
 
 class Tokenizer(Protocol):
@@ -30,6 +35,31 @@ class Characters:
         return "".join(map(chr, ids))
 
 
+def by_rows(f: Callable[..., Sequence], kind: T.StructType) -> Callable[..., Column]:
+    """f of each row's values (arrays), which gives the fields of ``kind``, as a column. Batches are taken and given back in
+    slices: beside the batch that has come, a worker holds one slice."""
+    fields = list(to_arrow_type(kind))
+
+    def made(rows: list[Sequence]) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(x, a.type) for x, a in zip(zip(*rows, strict=True), fields, strict=True)], fields=fields)
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            rows, chars = [], 0
+            for row in zip(*columns, strict=True):
+                values = [x.as_py() for x in row]
+                size = sum(len(x) for v in values for x in v if isinstance(x, str))
+                if rows and (len(rows) == SLICE_ROWS or chars + size > SLICE_CHARS):
+                    yield made(rows)
+                    rows, chars = [], 0
+                rows.append(f(*values))
+                chars += size
+            if rows:
+                yield made(rows)
+
+    return F.arrow_udf(run, kind)
+
+
 def water_fill(sizes: list[int], room: int) -> list[int]:
     """Share room evenly among what still wants some; what the division leaves goes to the first, one each."""
     out, open_ = [0] * len(sizes), [i for i, s in enumerate(sizes) if s]
