@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -110,16 +109,16 @@ def observation(titles: Sequence[str | None], bodies: Sequence[str | None], toke
     return found["text"], found["tokens"], found["truncated"]
 
 
-DOCUMENT = "struct<rank: int, title: string, original_text: string, visible_text: string, original_body_tokens: int, visible_body_tokens: int, body_truncated: boolean>"
+DOCUMENT = T.StructType([T.StructField("rank", T.IntegerType()), *(T.StructField(c, T.StringType()) for c in ("title", "original_text", "visible_text")), *(T.StructField(c, T.IntegerType()) for c in ("original_body_tokens", "visible_body_tokens")), T.StructField("body_truncated", T.BooleanType())])
+OBSERVATION = T.StructType([T.StructField("text", T.StringType()), T.StructField("tokens", T.IntegerType()), T.StructField("truncated", T.BooleanType()), T.StructField("documents", T.ArrayType(DOCUMENT)), T.StructField("error", T.StringType())])
 
 
 def observation_column(titles: Column, bodies: Column, budget: int = OBSERVATION_TOKENS, tokenizer: Tokenizer | None = None, top: int = TOP) -> Column:
     """struct(text, tokens, truncated, documents, error), by Arrow batches: the cutting is sequential."""
     tok = tokenizer or Characters()
 
-    @F.pandas_udf(f"struct<text: string, tokens: int, truncated: boolean, documents: array<{DOCUMENT}>, error: string>")
-    def fill(t: pd.Series, b: pd.Series) -> pd.DataFrame:
-        found = [fitted(list(x), list(y), tok, budget, top) for x, y in zip(t, b, strict=True)]
-        return pd.DataFrame({c: pd.Series([r[c] for r in found], dtype=object) for c in ("text", "tokens", "truncated", "documents", "error")})
+    def fill(t: list, b: list) -> list:
+        found = fitted(t, b, tok, budget, top)
+        return [found[c] for c in OBSERVATION.names]
 
-    return fill(titles, bodies)
+    return by_rows(fill, OBSERVATION)(titles, bodies)

@@ -329,3 +329,17 @@ def test_a_worker_holds_a_slice_of_the_tokens(spark, tmp_path):
     got = spark.range(0, 6000, 1, 1).select(c.alias("n")).agg(F.count("n").alias("n"), F.max("n").alias("most")).first()
     grown = [float(x) for p in tmp_path.iterdir() for x in p.read_text().split()]
     assert tuple(got) == (6000, 2005) and len(grown) > 50 and max(grown) < 80
+
+
+def test_observations_come_in_slices_of_a_batch(monkeypatch):
+    import pyarrow as pa
+
+    calls, real = [], observation.fitted
+    monkeypatch.setattr(observation, "fitted", lambda *a: calls.append(1) or real(*a))
+    monkeypatch.setattr(F, "arrow_udf", lambda f, kind: lambda *columns: f(iter([columns])))
+    titles, bodies = pa.array([["t", "u"]] * 1000), pa.array([["x" * 1500, None]] * 1000)
+    out = observation.observation_column(titles, bodies)
+    first = next(out)
+    assert len(first) <= 200 and len(calls) == len(first)
+    rest = [first, *out]
+    assert sum(map(len, rest)) == 1000 and {x["tokens"] for part in rest for x in part.to_pylist()} == {768}
