@@ -22,9 +22,19 @@ def union_of_shards(shards: Sequence[DataFrame], key: str) -> tuple[DataFrame, D
     return rows, rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col(key).isNull() | (F.col("n") > 1))
 
 
+#: Rows of a task that sorts by key. Bytes are no measure: a task of narrow rows that compress well gets very many.
+TASK_ROWS = 1 << 20
+
+
 def missing_and_extra(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
-    e, a = expected.select(key).distinct(), actual.select(key).distinct()
-    return e.join(a, key, "left_anti").withColumn("side", F.lit("missing")).unionByName(a.join(e, key, "left_anti").withColumn("side", F.lit("extra")))
+    """Keys of one side only, once each: key, side. A key that is null equals none. Both sides are dealt by key to tasks of
+    ``TASK_ROWS`` rows and sorted there; no task keeps a table of its keys, neither before nor after."""
+    both = expected.select(key, F.lit("missing").alias("side")).union(actual.select(key, F.lit("extra").alias("side")))
+    none = both.where(F.col(key).isNull()).distinct()
+    dealt = both.where(F.col(key).isNotNull()).repartition(max(1, -(-both.count() // TASK_ROWS)), key)
+    # sides are texts, whose least and largest are found in sorted rows
+    sides = dealt.groupBy(key).agg(F.min("side").alias("side"), F.max("side").alias("_last"))
+    return sides.where(F.col("side") == F.col("_last")).drop("_last").union(none)
 
 
 def shard_indexes(headers: DataFrame, index: str, shards: int) -> DataFrame:

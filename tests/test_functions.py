@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -343,3 +344,14 @@ def test_observations_come_in_slices_of_a_batch(monkeypatch):
     assert len(first) <= 200 and len(calls) == len(first)
     rest = [first, *out]
     assert sum(map(len, rest)) == 1000 and {x["tokens"] for part in rest for x in part.to_pylist()} == {768}
+
+
+def test_missing_and_extra_keys_are_sorted_not_kept(spark, monkeypatch):
+    monkeypatch.setattr(integrity, "TASK_ROWS", 100, raising=False)
+    frame = lambda keys: spark.createDataFrame([(k,) for k in keys], "id long").repartition(3)
+    expected, actual = [*range(500), *range(50), None, None], [*range(100, 600), *[550] * 40, None]
+    got = integrity.missing_and_extra(frame(expected), frame(actual), "id")
+    want = [*((k, "missing") for k in range(100)), *((k, "extra") for k in range(500, 600)), (None, "missing"), (None, "extra")]
+    assert sorted(map(tuple, got.select("id", "side").collect()), key=repr) == sorted(want, key=repr)
+    assert not re.search(r"HashAggregate\(keys=\[id#\d+L?\]", got._jdf.queryExecution().executedPlan().toString())
+    assert got.rdd.getNumPartitions() >= (len(expected) + len(actual)) // 100
